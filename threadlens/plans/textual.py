@@ -11,6 +11,7 @@ from threadlens.operators import textfeat
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
 from threadlens.sources import tables
+from threadlens.sources.files import spread
 
 # Phrases and words that the invented prose contains, so the checks are not vacuous.
 PHRASES = ["the of", "of the", "in", "and the", "it is", "on the", "la", "der"]
@@ -20,7 +21,8 @@ FIRST = ["the", "la", "i", "me", "er", "ich", "re"]
 
 def cleaned(spark, d) -> DataFrame:
     """Cleaned documents of at least five characters."""
-    docs = tables.texts(spark, d).withColumn("text_clean", text.clean_text(F.col("text")))
+    docs = spread(tables.texts(spark, d).select("id", "community", "lang", "text"), "id")
+    docs = docs.withColumn("text_clean", text.clean_text(F.col("text")))
     return docs.filter(F.length("text_clean") >= 5).select("id", "community", "lang", "text_clean")
 
 
@@ -77,8 +79,7 @@ WITH {q.BASE}, w AS (
 ), syl AS (
   SELECT id, sum(n) AS syl, count(*) FILTER (n >= 3) AS hard FROM (
     SELECT id, greatest(1, len(regexp_extract_all(w, '[aeiouy]+'))
-      - CASE WHEN regexp_matches(w, '{q.SILENT}')
-              AND NOT regexp_matches(regexp_extract(w, '.{{2}}[^\\p{{L}}]*$'), '[aeiouy]e') THEN 1 ELSE 0 END) AS n
+      - CASE WHEN regexp_matches(w, '{q.SILENT}') THEN 1 ELSE 0 END) AS n
     FROM w) GROUP BY id
 ), k AS (
   SELECT b.id, len(ws)::DOUBLE AS w, len(ss)::DOUBLE AS s, syl, hard,

@@ -38,6 +38,15 @@ def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan that has fewer tasks than the cluster has cores, ahead of costly row work.
+
+    A large table is split by the scan itself and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def sink_partitioned(df: DataFrame, path: str, by: str) -> str:
     df.write.partitionBy(by).parquet(path)
     return path
