@@ -51,14 +51,19 @@ def _(spark, d):
     return tagged.select("doc_id", F.md5("text").alias("digest"), "subreddit")
 
 
-@query("merge_checkpoints", "SELECT vec_id, label, len(embedding)::INTEGER AS dim FROM embeddings")
+@query("merge_checkpoints", """
+SELECT doc_id AS id, md5(text) AS digest FROM documents
+UNION ALL SELECT item_id, md5(text) FROM benchmark
+UNION ALL SELECT conv_id, md5(text) FROM conversations""")
 def _(spark, d):
-    vecs = tables.table(spark, d, "embeddings").withColumn("safe_content", F.lit("x"))
     path = fresh_path(spark, "parts")
-    for part in range(3):
-        vecs.filter(F.col("vec_id") % 3 == part).write.parquet(f"{path}/part_{part}")
-    merged = files.merge_checkpoints(spark, path, vecs.schema)
-    return merged.select("vec_id", "label", F.size("embedding").alias("dim"))
+    for part, id_col in (("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id")):
+        rows = tables.table(spark, d, part).select(
+            F.col(id_col).alias("id"), "text", F.upper("text").alias("safe_content")
+        )
+        rows.write.parquet(f"{path}/{part}")
+    merged = files.merge_checkpoints(spark, path, "id long, text string, safe_content string")
+    return merged.select("id", F.md5("text").alias("digest"))
 
 
 def _split_docs(spark, d):
