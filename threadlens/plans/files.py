@@ -9,8 +9,8 @@ from threadlens.operators.project import feature_columns
 from threadlens.operators.sampling import stratified_split
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
-from threadlens.plans.textual import cleaned
-from threadlens.session import fresh_path
+from threadlens.plans.textual import prepared
+from threadlens.session import fresh_path, materialize
 from threadlens.sources import files, tables
 
 _DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,11 +68,11 @@ def _(spark, d):
 
 def _split_docs(spark, d):
     docs = textfeat.add_features(
-        cleaned(spark, d), "text_clean", ["length", "punctuation", "special"]
+        prepared(spark, d), "text_clean", ["length", "punctuation", "special"]
     )
     vecs = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     docs = docs.withColumnRenamed("community", "source").join(vecs, "id", "left")
-    return stratified_split(docs, "lang")
+    return materialize(stratified_split(docs, "lang"), "features")
 
 
 _SPLIT_SQL = f"""

@@ -1,0 +1,157 @@
+"""Queries over lexicon, language-model and encoder features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threadlens.functions import lexicons as lx
+from threadlens.functions import text
+from threadlens.operators import modelfeat as mf
+from threadlens.operators import sampling
+from threadlens.plans import sqltext as q
+from threadlens.plans.registry import query
+from threadlens.plans.textual import cleaned, prepared
+from threadlens.plans.threads import _rounded
+from threadlens.sources import tables
+
+# Word parts that the invented prose contains, with made-up valences.
+VALENCE = {
+    "the": 0.5, "of": -0.4, "and": 1.1, "ther": 2.3, "ting": -1.9, "la": 1.6, "der": -0.7,
+    "und": 0.9, "is": 1.5, "to": -2.1, "en": 0.3, "re": -1.2, "que": 2.0,
+}
+_TOK = r"regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}'']+')"
+
+
+def _tokens(c: str) -> str:
+    return f"list_filter({_TOK.format(c=c)}, lambda w: w <> '')"
+
+
+def _tag_sql() -> str:
+    cases = " ".join(
+        f"WHEN lower(t) IN {q.str_list(ws)} THEN '{tag}'" for tag, ws in lx.WORD_TAGS.items()
+    )
+    cases += r" WHEN regexp_matches(t, '^\p{Lu}') THEN 'NNP'"
+    for suffix, tag in lx.SUFFIX_TAGS:
+        cases += f" WHEN suffix(lower(t), '{suffix}') THEN '{tag}'"
+    return f"CASE {cases} ELSE 'NN' END"
+
+
+def _share(tags) -> str:
+    return f"count(*) FILTER (tag IN {q.str_list(tags)})"
+
+
+@query("pos_distribution", f"""
+WITH {q.BASE}, t AS (SELECT id, unnest({_tokens('text_clean')}) AS t FROM base),
+g AS (SELECT id, {_tag_sql()} AS tag FROM t), a AS (
+  SELECT id, {", ".join(f"count(*) FILTER (tag = '{t}') / count(*)::DOUBLE AS pos_{t}" for t in lx.POS_TAGS)} FROM g GROUP BY id)
+SELECT b.id, {", ".join(f"round(coalesce(pos_{t}, 0), 6) AS pos_{t}" for t in lx.POS_TAGS)}
+FROM base b LEFT JOIN a USING (id)""")
+def _(spark, d):
+    return _rounded(mf.pos_distribution(cleaned(spark, d), "text_clean").drop("formality_score"))
+
+
+@query("formality_score", f"""
+WITH {q.BASE}, t AS (SELECT id, unnest({_tokens('text_clean')}) AS t FROM base),
+g AS (SELECT id, {_tag_sql()} AS tag FROM t), a AS (
+  SELECT id, {_share(lx.FORMAL_TAGS)} AS f, {_share(lx.INFORMAL_TAGS)} AS i FROM g GROUP BY id)
+SELECT b.id, round(CASE WHEN coalesce(f + i, 0) = 0 THEN 0.5 ELSE f / (f + i)::DOUBLE END, 6) AS formality_score
+FROM base b LEFT JOIN a USING (id)""")
+def _(spark, d):
+    return _rounded(mf.pos_distribution(cleaned(spark, d), "text_clean").select("id", "formality_score"))
+
+
+_VALUES = ", ".join(f"({q.lit(w)}, {v})" for w, v in VALENCE.items())
+
+
+@query("sentiment_scores", f"""
+WITH {q.BASE}, lex(w, v) AS (VALUES {_VALUES}),
+st AS (SELECT id, unnest(range(len(ss))) AS k, unnest(ss) AS s FROM base),
+tk AS (SELECT id, k, unnest({_tokens('lower(s)')}) AS w FROM st),
+tv AS (SELECT id, k, coalesce(v, 0)::DOUBLE AS v FROM tk LEFT JOIN lex USING (w)),
+sen AS (SELECT st.id, st.k, coalesce(sum(v), 0) AS s FROM st LEFT JOIN tv USING (id, k) GROUP BY st.id, st.k),
+sp AS (SELECT id, count(*) AS nsen, stddev_pop(s / sqrt(s * s + 15)) AS sd FROM sen GROUP BY id),
+doc AS (
+  SELECT id, sum(v) AS s, sum(v + 1) FILTER (v > 0) AS p, -sum(v - 1) FILTER (v < 0) AS n,
+    count(*) FILTER (v = 0) AS u FROM tv GROUP BY id),
+r AS (SELECT id, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(u, 0) AS u
+  FROM base LEFT JOIN doc USING (id))
+SELECT id, round(s / sqrt(s * s + 15), 6) AS sentiment_compound,
+  round(coalesce(p / nullif(p + n + u, 0), 0), 6) AS sentiment_pos,
+  round(coalesce(n / nullif(p + n + u, 0), 0), 6) AS sentiment_neg,
+  round(coalesce(u / nullif(p + n + u, 0), 0), 6) AS sentiment_neu,
+  round(CASE WHEN nsen >= 2 THEN sd ELSE 0 END, 6) AS sentiment_variability
+FROM r JOIN sp USING (id)""")
+def _(spark, d):
+    return _rounded(mf.sentiment_scores(cleaned(spark, d), "text_clean", valence=VALENCE))
+
+
+@query("corpus_perplexity", f"""
+WITH {q.BASE}, s AS (SELECT * FROM {q.split_sql('base', 'lang')}),
+lw AS (SELECT id, split, list_transform(ws, lambda x: lower(x)) AS w FROM s),
+pr AS (SELECT id, split, w[i] AS a, w[i + 1] AS b FROM (
+  SELECT *, unnest(range(1, len(w))) AS i FROM lw)),
+ab AS (SELECT a, b, count(*) AS nab FROM pr WHERE split = 'train' GROUP BY a, b),
+fa AS (SELECT a, count(*) AS na FROM pr WHERE split = 'train' GROUP BY a),
+vo AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(w) AS w FROM lw WHERE split = 'train')),
+sc AS (
+  SELECT id, exp(-avg(ln((coalesce(nab, 0) + 0.1) / (coalesce(na, 0) + 0.1 * v)))) AS ppl
+  FROM pr LEFT JOIN ab USING (a, b) LEFT JOIN fa USING (a) CROSS JOIN vo GROUP BY id)
+SELECT id, split, round(ppl, 3) AS perplexity FROM s LEFT JOIN sc USING (id)""")
+def _(spark, d):
+    docs = sampling.stratified_split(prepared(spark, d), "lang")
+    return _rounded(mf.corpus_perplexity(docs, "text_clean"), 3)
+
+
+@query("token_limit_truncate", f"""
+SELECT doc_id AS id, len(ws) > 300 AS truncated,
+  md5(CASE WHEN len(ws) > 300 THEN array_to_string(ws[1:300], ' ') ELSE t END) AS digest
+FROM (SELECT doc_id, t, {q.words('t')} AS ws FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents))""")
+def _(spark, d):
+    c = F.col("text")
+    return tables.texts(spark, d).select(
+        "id", (F.size(text.words(c)) > 300).alias("truncated"),
+        F.md5(mf.token_limit_truncate(c, 300)).alias("digest"),
+    )
+
+
+@query("encode_tokens", f"""
+WITH {q.BASE}, s AS (SELECT * FROM {q.split_sql('base', 'lang')}),
+tk AS (SELECT id, split, {_tokens('lower(text_clean)')} AS w FROM s),
+vo AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 3 AS tid FROM (
+  SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM tk WHERE split = 'train') GROUP BY w
+  ORDER BY n DESC, w LIMIT 4996)),
+e AS (SELECT id, unnest(w[1:254]) AS w, unnest(range(least(len(w), 254))) AS pos FROM tk),
+b AS (SELECT id, list(coalesce(tid, 1) ORDER BY pos) AS ids FROM e LEFT JOIN vo USING (w) GROUP BY id),
+f AS (SELECT tk.id, list_concat([2], list_concat(coalesce(ids, []), [3])) AS ids FROM tk LEFT JOIN b USING (id))
+SELECT id, array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda x: 0)), ' ') AS input_ids,
+  len(ids)::INTEGER AS n_attended, 256::INTEGER AS n_mask FROM f""")
+def _(spark, d):
+    docs = sampling.stratified_split(prepared(spark, d), "lang")
+    vocab = mf.build_vocabulary(docs.filter(F.col("split") == "train"), "text_clean", 5000)
+    enc = mf.encode_tokens(docs, "text_clean", vocab)
+    ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return enc.select(
+        "id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+        ones.alias("n_attended"), F.size("attention_mask").alias("n_mask"),
+    )
+
+
+@query("embed_texts")
+def _(spark, d):
+    return mf.embed_texts(cleaned(spark, d).select("id", "text_clean"), "text_clean").drop("text_clean")
+
+
+@query("embed_long_text")
+def _(spark, d):
+    docs = cleaned(spark, d).select("id", "text_clean")
+    return mf.embed_long_text(docs, "text_clean", limit=1000, size=250)
+
+
+@query("text_chunks", f"""
+WITH w AS (SELECT doc_id AS id, {q.words("replace(text, chr(10), ' ')")} AS ws FROM documents),
+s AS (SELECT *, CASE WHEN len(ws) > 1000 THEN 250 ELSE greatest(len(ws), 1) END AS step FROM w),
+c AS (SELECT *, unnest(range(0, greatest(len(ws), 1), step)) AS a FROM s)
+SELECT id, (a // step)::INTEGER AS chunk_no, md5(array_to_string(ws[a + 1:a + step], ' ')) AS digest FROM c""")
+def _(spark, d):
+    chunks = mf.text_chunks(tables.texts(spark, d), "text", limit=1000, size=250)
+    return chunks.select("id", "chunk_no", F.md5("chunk").alias("digest"))

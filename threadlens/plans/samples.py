@@ -11,6 +11,7 @@ from threadlens.operators.textfeat import add_features
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
 from threadlens.plans.textual import cleaned
+from threadlens.session import materialize
 from threadlens.sources import tables
 
 TARGETS = {"1-URGENT": 200, "2-HIGH": 90, "5-LOW": 4_000_000}
@@ -177,7 +178,7 @@ SELECT split, lang, count(*) AS n, sum(len(ws))::BIGINT AS words,
   round(avg(len(ws)), 6) AS mean_words FROM s GROUP BY split, lang""")
 def _(spark, d):
     """Clean, drop short texts, deduplicate, split, and profile: the steps ahead of all features."""
-    unique = s.dedup_keep_first(cleaned(spark, d), "text_clean")
+    unique = materialize(s.dedup_keep_first(cleaned(spark, d), "text_clean"), "unique")
     split = s.stratified_split(unique, "lang")
     words = split.withColumn("n_words", F.size(text.words(F.col("text_clean"))))
     return words.groupBy("split", "lang").agg(

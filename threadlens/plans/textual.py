@@ -10,6 +10,7 @@ from threadlens.functions import scalars, text
 from threadlens.operators import textfeat
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
+from threadlens.session import materialize
 from threadlens.sources import tables
 from threadlens.sources.files import spread
 
@@ -26,6 +27,11 @@ def cleaned(spark, d) -> DataFrame:
     return docs.filter(F.length("text_clean") >= 5).select("id", "community", "lang", "text_clean")
 
 
+def prepared(spark, d) -> DataFrame:
+    """The cleaned documents written once, for work that passes over them several times."""
+    return materialize(cleaned(spark, d), "cleaned")
+
+
 def _r(cols: dict, digits: int = 6) -> list:
     return [F.round(c, digits).alias(k) for k, c in cols.items()]
 

@@ -8,7 +8,7 @@ from threadlens.functions import text
 from threadlens.operators import authors, sampling, threads
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
-from threadlens.plans.textual import PHRASES, cleaned, hedging_sql
+from threadlens.plans.textual import PHRASES, hedging_sql, prepared
 from threadlens.session import materialize
 from threadlens.sources import tables
 
@@ -152,7 +152,7 @@ SELECT author, count(text) AS author_post_count, round(avg(word_count), 6) AS au
 FROM s WHERE split = 'train' GROUP BY author""")
 def _(spark, d):
     t = F.col("text_clean")
-    posts = cleaned(spark, d).select(
+    posts = prepared(spark, d).select(
         "id", F.col("community").alias("author"), F.col("lang").alias("label"),
         F.col("lang").alias("community"), t.alias("text"), F.length(t).cast("double").alias("upvotes"),
         F.size(text.words(t)).alias("word_count"),
