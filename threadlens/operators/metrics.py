@@ -85,9 +85,10 @@ def _running_counts(counts: DataFrame, slices: int = 1000) -> DataFrame:
     ordered sums run per slice and not over one global window.
     """
     ends = counts.agg(F.struct(F.min("threshold").alias("lo"), F.max("threshold").alias("hi")).alias("e")).scalar()
-    width = (ends["hi"] - ends["lo"]) / slices
-    at = F.when(width > 0, F.floor((ends["hi"] - F.col("threshold")) / width)).otherwise(0)
-    cut = counts.withColumn("__b", at)
+    e = F.col("__e")
+    width = (e["hi"] - e["lo"]) / slices
+    at = F.when(width > 0, F.floor((e["hi"] - F.col("threshold")) / width)).otherwise(0)
+    cut = counts.withColumn("__e", ends).withColumn("__b", at).drop("__e")
     totals = cut.groupBy("__b").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -194,4 +194,5 @@ def quantile_cap_impute(
     train = df.filter(F.col(split) == "train")
     q = exact_quantiles(train, [], col, [cap, 0.5], cut=cut).agg(F.first("q").alias("q")).scalar()
     c = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    return df.withColumn(col, F.when(c.isNull(), q[1]).otherwise(F.least(c, q[0])))
+    capped = F.when(c.isNull(), F.col("__q")[1]).otherwise(F.least(c, F.col("__q")[0]))
+    return df.withColumn("__q", q).withColumn(col, capped).drop("__q")

@@ -123,19 +123,19 @@ def top_n_per_group(
     """First ``quota`` rows of each group in the given order, in two steps.
 
     Ranking per (group, salt) first leaves at most ``salts * quota`` rows for the final ranking of a
-    group, however large it is; both steps are cut map-side by the window group limit.
+    group, however large it is; both steps are cut map-side by the window group limit. ``salts=1``
+    skips the first step where groups are known to be small.
     """
     most = quota if isinstance(quota, int) else max(quota.values())
     if not isinstance(quota, int):
         df = df.filter(F.col(group).isin(list(quota)))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-    part = Window.partitionBy(group, "__salt").orderBy(*order)
+    if salts > 1:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+        part = Window.partitionBy(group, "__salt").orderBy(*order)
+        df = salted.withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= most)
+        df = df.drop("__rn", "__salt")
     final = Window.partitionBy(group).orderBy(*order)
-    out = (
-        salted.withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= most)
-        .drop("__rn", "__salt")
-        .withColumn("__rn", F.row_number().over(final)).filter(F.col("__rn") <= most)
-    )
+    out = df.withColumn("__rn", F.row_number().over(final)).filter(F.col("__rn") <= most)
     return out.filter(F.col("__rn") <= quota_column(group, quota)).drop("__rn")
 
 

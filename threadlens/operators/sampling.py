@@ -101,12 +101,13 @@ def redistribute_quota(
             F.sum("shortfall").alias("gap"), F.count_if(F.col("shortfall") == 0).alias("full")
         ).alias("s")
     ).scalar()
-    extra = F.when(totals["full"] > 0, F.floor(totals["gap"] / totals["full"])).otherwise(0)
-    return t.withColumn(
+    s = F.col("__s")
+    extra = F.when(s["full"] > 0, F.floor(s["gap"] / s["full"])).otherwise(0)
+    return t.withColumn("__s", totals).withColumn(
         "adjusted_target",
         F.when(F.col("shortfall") > 0, F.col("available")).otherwise(F.col("target") + extra)
         .cast("long"),
-    )
+    ).drop("__s")
 
 
 def dedup_keep_first(df: DataFrame, text: str, order: str = "id") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from threadlens.operators.authors import cluster_size
 from threadlens.operators.ranking import small_side
 from threadlens.operators.sampling import random_cap_sample
+from threadlens.session import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,18 +61,19 @@ def finite(c: Column) -> Column:
 def standardize(df: DataFrame, features: list[str]) -> DataFrame:
     """Z-scores with the population deviation; a constant feature becomes 0.
 
-    The moments are one row and enter as a scalar subquery.
+    The moments are one row and enter as a scalar subquery, evaluated once into a column.
     """
     clean = df.withColumns({f: finite(F.col(f)) for f in features})
     cells = [c for f in features for c in (
         F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}")
     )]
     names = [n for f in features for n in (f"m_{f}", f"s_{f}")]
-    m = clean.agg(*cells).select(F.struct(*names).alias("m")).scalar()
-    return clean.withColumns({
+    moments = clean.agg(*cells).select(F.struct(*names).alias("m")).scalar()
+    m = F.col("__m")
+    return clean.withColumn("__m", moments).withColumns({
         f: F.when(m[f"s_{f}"] > 0, (F.col(f) - m[f"m_{f}"]) / m[f"s_{f}"]).otherwise(0.0)
         for f in features
-    })
+    }).drop("__m")
 
 
 def pca_project(df: DataFrame, vector: str, k: int = 2, out: str = "pc") -> tuple[DataFrame, float]:
@@ -131,14 +135,16 @@ def kmeans_clusters(
         rows, n = random_cap_sample(rows, sample_size, id_col, seed), min(n, sample_size)
     if n < dims + 1:
         return None, "NOT_ENOUGH_AI_SAMPLES"
-    scaled = assemble(standardize(rows.select(id_col, *use), use), use).select(id_col, "features")
-    scaled = scaled.persist()
-    points, explained = pca_project(scaled, "features", dims)
+    raw = materialize(assemble(rows.select(id_col, *use), use).select(id_col, "features"), "features")
+    scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(raw)
+    points, explained = pca_project(scaler.transform(raw).select(id_col, "scaled"), "scaled", dims)
     names = [f"pc{i + 1}" for i in range(dims)]
-    points = assemble(points.select(id_col, *names), names, "point").persist()
+    # The scaler divides by the sample deviation; the population deviation differs by one factor.
+    fix = math.sqrt(n / (n - 1))
+    points = materialize(points.select(id_col, *[(F.col(p) * fix).alias(p) for p in names]), "points")
+    points = assemble(points, names, "point").persist()
     model = best_kmeans(points, "point", max(2, min(k, n - 1)), inits, seed)
     placed = model.transform(points).drop("point")
     points.unpersist()
-    scaled.unpersist()
     return cluster_size(rows.join(placed, id_col)), explained
 

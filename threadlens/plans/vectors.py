@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.operators import neighbours as nb
 from threadlens.operators import vectors as v
 from threadlens.plans.registry import query
 from threadlens.plans.threads import _rounded
@@ -79,3 +80,32 @@ def _(spark, d):
 @query("kmeans_clusters_3d")
 def _(spark, d):
     return _clusters(spark, d, 3)
+
+
+_COS = """s AS (
+  SELECT a.vec_id AS id, b.vec_id AS neighbor, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cs
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+), r AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY round(cs, 12) DESC, neighbor)::INTEGER AS rank, neighbor, cs
+  FROM s)"""
+
+
+@query("knn_graph", f"WITH {_COS} SELECT id, rank, neighbor, round(cs, 6) AS similarity FROM r WHERE rank <= 15")
+def _(spark, d):
+    return _rounded(nb.knn_graph(tables.vectors(spark, d), 15))
+
+
+@query("neighbour_sweep", f"""
+WITH {_COS}
+SELECT k, count(*) AS n_edges, round(avg(cs), 6) AS mean_similarity
+FROM r, (VALUES (15), (50), (100), (200)) AS v(k) WHERE rank <= k GROUP BY k""")
+def _(spark, d):
+    graph = nb.knn_graph(tables.vectors(spark, d), 200)
+    return _rounded(nb.neighbour_sweep(graph, [15, 50, 100, 200]))
+
+
+@query("density_clusters")
+def _(spark, d):
+    return nb.density_clusters(
+        tables.vectors(spark, d), min_similarity=0.3, min_points=5, min_cluster_size=10
+    )
