@@ -1,0 +1,122 @@
+"""Queries over topics and classifiers."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from threadlens.operators import classify, modelfeat, sampling, topics
+from threadlens.operators.textfeat import add_features
+from threadlens.operators.vectors import group_centroid
+from threadlens.plans import sqltext as q
+from threadlens.plans.models import _tokens
+from threadlens.plans.registry import query
+from threadlens.plans.textual import prepared
+from threadlens.plans.threads import _rounded
+from threadlens.session import materialize
+from threadlens.sources import tables
+
+
+def _embedded(spark, d):
+    docs = sampling.stratified_split(prepared(spark, d), "lang")
+    return materialize(modelfeat.embed_texts(docs, "text_clean"), "embedded")
+
+
+@query("fit_topics")
+def _(spark, d):
+    docs = _embedded(spark, d)
+    model, _ = topics.fit_topics(docs.filter(F.col("split") == "train"), "text_clean")
+    return model.transform(docs).select("id", "split", "topic_id", "topic_similarity")
+
+
+@query("topic_terms", f"""
+WITH {q.BASE}, t AS (
+  SELECT substr(community, 4)::INTEGER AS topic_id, unnest({_tokens('lower(text_clean)')}) AS term FROM base
+), c AS (SELECT topic_id, term, count(*) AS n FROM t GROUP BY ALL),
+tot AS (SELECT topic_id, sum(n) AS total FROM c GROUP BY topic_id),
+f AS (SELECT term, sum(n) AS f FROM c GROUP BY term),
+w AS (SELECT topic_id, term, round(n / total * ln(1 + (SELECT avg(total) FROM tot) / f), 12) AS w
+  FROM c JOIN tot USING (topic_id) JOIN f USING (term)),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY w DESC, term) <= 10),
+l AS (SELECT topic_id, list(term ORDER BY w DESC, term) AS terms FROM b GROUP BY topic_id),
+s AS (SELECT substr(community, 4)::INTEGER AS topic_id, count(*) AS count FROM base GROUP BY 1)
+SELECT topic_id, count, topic_id || '_' || array_to_string(terms[1:4], '_') AS name,
+  array_to_string(terms, ' ') AS terms FROM s JOIN l USING (topic_id)""")
+def _(spark, d):
+    docs = prepared(spark, d).withColumn("topic_id", F.substring("community", 4, 9).cast("int"))
+    info = topics.topic_terms(docs, "text_clean")
+    return info.withColumn("terms", F.array_join("terms", " "))
+
+
+_SPLIT_VECS = "s AS (SELECT * FROM " + q.split_sql("(SELECT vec_id AS id, embedding, label FROM embeddings)", "label") + ")"
+_ASSIGN = f"""{_SPLIT_VECS}, l AS (
+  SELECT id, label, split, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM s
+), c AS (SELECT label AS topic, pos, avg(x) AS m FROM l WHERE split = 'train' GROUP BY label, pos
+), d AS (
+  SELECT id, split, topic, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS cs
+  FROM l JOIN c USING (pos) GROUP BY id, split, topic
+), a AS (
+  SELECT id, split, CASE WHEN max(cs) < 0.25 THEN -1 ELSE arg_max(topic, cs) END AS topic_id,
+    max(cs) AS cs FROM d GROUP BY id, split)"""
+
+
+def _assigned(spark, d):
+    vecs = sampling.stratified_split(tables.vectors(spark, d), "label")
+    centers = group_centroid(vecs.filter(F.col("split") == "train"), "label").orderBy("label").collect()
+    return topics.assign_topics(
+        vecs, np.array([r["centroid"] for r in centers]), [r["label"] for r in centers],
+        min_similarity=0.25,
+    )
+
+
+@query("assign_topics", f"WITH {_ASSIGN} SELECT id, split, topic_id, round(cs, 6) AS topic_similarity FROM a")
+def _(spark, d):
+    return _rounded(_assigned(spark, d).select("id", "split", "topic_id", "topic_similarity"))
+
+
+@query("topic_outlier_counts", f"""
+WITH {_ASSIGN}
+SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'val+test' END AS part, count(*) AS n,
+  count(*) FILTER (topic_id = -1) AS outliers, count(DISTINCT CASE WHEN topic_id <> -1 THEN topic_id END) AS topics
+FROM a GROUP BY 1""")
+def _(spark, d):
+    return topics.topic_outlier_counts(_assigned(spark, d))
+
+
+def _labelled_features(spark, d):
+    lab = tables.table(spark, d, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
+    docs = sampling.stratified_split(prepared(spark, d).join(lab, "id"), "label")
+    return materialize(add_features(docs, "text_clean"), "labelled-features")
+
+
+@query("fit_forest")
+def _(spark, d):
+    df = _labelled_features(spark, d)
+    forest = classify.fit_forest(df.filter(F.col("split") == "train"))
+    return forest.transform(df).select(
+        "id", "split", "label", "prediction", "probability_agent", "probability_human"
+    )
+
+
+@query("score_batch")
+def _(spark, d):
+    """Every document scored by a forest that is fit on the labelled ones."""
+    forest = classify.fit_forest(_labelled_features(spark, d))
+    docs = add_features(prepared(spark, d), "text_clean")
+    return classify.score_batch(docs, forest, "text_clean").select(
+        "id", "prediction", "probability_agent", "probability_human", "band"
+    )
+
+
+@query("fit_text_classifier")
+def _(spark, d):
+    lab = tables.table(spark, d, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
+    docs = materialize(
+        sampling.stratified_split(prepared(spark, d).join(lab, "id"), "label"), "labelled-texts"
+    )
+    model, _ = classify.fit_text_classifier(docs, "text_clean")
+    return model.transform(docs).select("id", "split", "label", "prediction")
