@@ -13,6 +13,11 @@ from threadlens.functions import lexicons as lx
 WS = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters as plain text, for the trim function.
+WS_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+    0x202F, 0x205F, 0x3000,
+]))
 URL_PATTERN = rf"http[^{WS}]+|www\.[^{WS}]+"
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 ASTRAL_CLASS = r"[\x{10000}-\x{10FFFF}]"
@@ -43,13 +48,17 @@ def _array_sum(arr: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
-    """Drop URLs, squeeze runs of spaces and tabs, keep newlines, strip the ends; null becomes ''."""
-    no_url = F.regexp_replace(c, URL_PATTERN, "")
-    return F.coalesce(strip(F.regexp_replace(no_url, "[ \t]+", " ")), F.lit(""))
+    """Drop URLs, squeeze runs of spaces and tabs, keep newlines, strip the ends; null becomes ''.
+
+    The regular expressions only run or match where there is something to change.
+    """
+    has_url = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www."))
+    no_url = F.when(has_url, F.regexp_replace(c, URL_PATTERN, "")).otherwise(c)
+    return F.coalesce(strip(F.regexp_replace(no_url, "[ \t]{2,}|\t", " ")), F.lit(""))
 
 
 def words(c: Column) -> Column:
@@ -62,8 +71,23 @@ def sentences(c: Column) -> Column:
     return F.array_remove(F.split(marked, _CUT), "")
 
 
-def sentence_lengths(sents: Column) -> Column:
-    return F.transform(sents, lambda s: F.size(words(s)).cast("long"))
+def marked_words(c: Column) -> Column:
+    """Words with a mark between sentences, so one split serves words and sentence lengths."""
+    return words(F.regexp_replace(strip(c), rf"([.!?]+)[{WS}]+", f"$1 {_CUT} "))
+
+
+def unmark(marked: Column) -> Column:
+    return F.array_remove(marked, _CUT)
+
+
+def sentence_lengths(marked: Column) -> Column:
+    """Words per sentence, from the distances between the marks of ``marked_words``."""
+    at = F.transform(marked, lambda x, i: F.when(x == _CUT, i))
+    marks = F.filter(at, lambda i: i.isNotNull())
+    ends = F.array_append(marks, F.size(marked))
+    starts = F.array_prepend(marks, F.lit(-1))
+    lengths = F.zip_with(ends, starts, lambda e, s: (e - s - 1).cast("long"))
+    return F.when(F.size(marked) > 0, lengths).otherwise(F.array().cast("array<bigint>"))
 
 
 def population_std(lengths: Column) -> Column:
@@ -74,9 +98,9 @@ def population_std(lengths: Column) -> Column:
     return F.sqrt((n * squares - total * total).cast("double")) / n
 
 
-def length_features(c: Column, tokens: Column, sents: Column, lengths: Column) -> dict[str, Column]:
+def length_features(c: Column, tokens: Column, lengths: Column) -> dict[str, Column]:
     n_words = F.size(tokens).cast("long")
-    n_sents = F.size(sents).cast("long")
+    n_sents = F.size(lengths).cast("long")
     lines = F.filter(F.split(c, "\n"), lambda line: line.rlike(f"[^{WS}]"))
     return {
         "char_count": F.length(c).cast("long"),
@@ -104,10 +128,10 @@ def syllable_counts(c: Column) -> Column:
     )
 
 
-def readability(c: Column, tokens: Column, sents: Column, syllables: Column) -> dict[str, Column]:
+def readability(c: Column, tokens: Column, lengths: Column, syllables: Column) -> dict[str, Column]:
     """Flesch-Kincaid grade, Gunning fog, Coleman-Liau and ARI from their published formulas."""
     w = F.size(tokens).cast("double")
-    s = F.greatest(F.size(sents), F.lit(1)).cast("double")
+    s = F.greatest(F.size(lengths), F.lit(1)).cast("double")
     syl = _array_sum(syllables)
     hard = F.size(F.filter(syllables, lambda n: n >= 3))
     letters = _class_count(c, r"[\p{L}]")
@@ -186,9 +210,8 @@ def ngram_repetition(sorted_grams: Column) -> Column:
     )
 
 
-def hedging_rate(c: Column, n_words: Column, phrases: list[str] = lx.HEDGING_PHRASES) -> Column:
-    """Phrase hits per hundred words; phrases are substrings and may overlap one another."""
-    low = F.lower(c)
+def hedging_rate(low: Column, n_words: Column, phrases: list[str] = lx.HEDGING_PHRASES) -> Column:
+    """Phrase hits per hundred words of a lower-cased text; phrases are substrings and may overlap."""
     hits = reduce(lambda a, b: a + b, [_occurrences(low, p) for p in phrases])
     return _ratio(hits * 100, n_words)
 

@@ -187,11 +187,15 @@ def slot_weights(df: DataFrame, col: str) -> np.ndarray:
     """Inverse document frequency per hash slot: 65,536 numbers, whatever the corpus size."""
     n_slots = 1 << _SLOT_BITS
     slots = F.array_distinct(_slots(text.words(F.lower(F.col(col)))))
-    seen = df.select(F.explode(slots).alias("slot")).groupBy("slot").count().collect()
-    n = df.count()
+    # Slot -1 occurs once per text and so counts the texts in the same pass.
+    counted = df.select(F.explode(F.array_append(slots, F.lit(-1))).alias("slot")).groupBy("slot").count()
     freq = np.zeros(n_slots)
-    for slot, count in seen:
-        freq[slot] = count
+    n = 0
+    for slot, count in counted.collect():
+        if slot < 0:
+            n = count
+        else:
+            freq[slot] = count
     return np.log((n + 1) / (freq + 1)) + 1.0
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators.project import flag_removed
 from threadlens.operators.ranking import exact_quantiles, small_side
+from threadlens.session import materialize
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -47,15 +48,19 @@ def to_long(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
 def group_describe(
     df: DataFrame, groups: list[str], features: list[str], cut: bool = False
 ) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each feature per group, all exact."""
+    """count, mean, std, min, quartiles and max of each feature per group, all exact.
+
+    ``cut`` writes the narrow long table once when the features are costly to recompute.
+    """
     long = to_long(df, groups, features)
+    long = materialize(long, "long") if cut else long
     keys = ["feature", *groups]
     moments = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75], cut=cut).drop("n")
+    q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75]).drop("n")
     named = q.select(*keys, *[
         F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))
     ])

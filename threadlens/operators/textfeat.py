@@ -25,24 +25,25 @@ FAMILY_COLUMNS = {
 
 # Arrays that several features share; each is computed once per row, then dropped.
 _SHARED = {
-    "__words": lambda c: text.words(c),
-    "__sents": lambda c: text.sentences(c),
-    "__lens": lambda c: text.sentence_lengths(F.col("__sents")),
-    "__low": lambda c: text.words(F.lower(c)),
+    "__lower": lambda c: F.lower(c),
+    "__marked": lambda c: text.marked_words(c),
+    "__words": lambda c: text.unmark(F.col("__marked")),
+    "__lens": lambda c: text.sentence_lengths(F.col("__marked")),
+    "__low": lambda c: text.words(F.col("__lower")),
     "__alpha": lambda c: F.sort_array(text.alphabetic_words(F.col("__low"))),
     "__syl": lambda c: text.syllable_counts(c),
     "__g3": lambda c: text.ngrams(F.col("__low"), 3),
     "__g4": lambda c: text.ngrams(F.col("__low"), 4),
 }
 _NEEDS = {
-    "length": ["__words", "__sents", "__lens"],
-    "readability": ["__words", "__sents", "__syl"],
-    "vocab": ["__low", "__alpha"],
-    "stopword": ["__low"],
-    "ngram": ["__low", "__g3", "__g4"],
-    "hedging": ["__words"],
-    "self": ["__low"],
-    "burstiness": ["__sents", "__lens"],
+    "length": ["__marked", "__words", "__lens"],
+    "readability": ["__marked", "__words", "__lens", "__syl"],
+    "vocab": ["__lower", "__low", "__alpha"],
+    "stopword": ["__lower", "__low"],
+    "ngram": ["__lower", "__low", "__g3", "__g4"],
+    "hedging": ["__lower", "__marked", "__words"],
+    "self": ["__lower", "__low"],
+    "burstiness": ["__marked", "__lens"],
 }
 
 
@@ -54,10 +55,10 @@ def add_features(df: DataFrame, col: str, families: list[str] | None = None) ->
     # One projection per array: those that build on another array must see it as a column.
     for name in shared:
         df = df.withColumn(name, _SHARED[name](c))
-    w, s, lens, low = (F.col(n) for n in ("__words", "__sents", "__lens", "__low"))
+    w, lens, low = (F.col(n) for n in ("__words", "__lens", "__low"))
     build = {
-        "length": lambda: text.length_features(c, w, s, lens),
-        "readability": lambda: text.readability(c, w, s, F.col("__syl")),
+        "length": lambda: text.length_features(c, w, lens),
+        "readability": lambda: text.readability(c, w, lens, F.col("__syl")),
         "vocab": lambda: text.vocab_richness(F.col("__alpha")),
         "stopword": lambda: {"stopword_ratio": text.stopword_ratio(low)},
         "punctuation": lambda: {"punctuation_density": text.punctuation_density(c)},
@@ -66,7 +67,7 @@ def add_features(df: DataFrame, col: str, families: list[str] | None = None) ->
             "trigram_repeat_rate": text.ngram_repetition(F.col("__g3")),
             "fourgram_repeat_rate": text.ngram_repetition(F.col("__g4")),
         },
-        "hedging": lambda: {"hedging_per_100w": text.hedging_rate(c, F.size(w))},
+        "hedging": lambda: {"hedging_per_100w": text.hedging_rate(F.col("__lower"), F.size(w))},
         "self": lambda: {"self_reference_rate": text.self_reference_rate(low)},
         "burstiness": lambda: {"burstiness": text.burstiness(lens)},
     }

@@ -118,5 +118,5 @@ def _(spark, d):
     docs = materialize(
         sampling.stratified_split(prepared(spark, d).join(lab, "id"), "label"), "labelled-texts"
     )
-    model, _ = classify.fit_text_classifier(docs, "text_clean")
+    model, _ = classify.fit_text_classifier(docs, "text_clean", n_features=1 << 14)
     return model.transform(docs).select("id", "split", "label", "prediction")

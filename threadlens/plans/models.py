@@ -138,12 +138,12 @@ def _(spark, d):
 
 @query("embed_texts")
 def _(spark, d):
-    return mf.embed_texts(cleaned(spark, d).select("id", "text_clean"), "text_clean").drop("text_clean")
+    return mf.embed_texts(prepared(spark, d).select("id", "text_clean"), "text_clean").drop("text_clean")
 
 
 @query("embed_long_text")
 def _(spark, d):
-    docs = cleaned(spark, d).select("id", "text_clean")
+    docs = prepared(spark, d).select("id", "text_clean")
     return mf.embed_long_text(docs, "text_clean", limit=1000, size=250)
 
 

@@ -54,7 +54,8 @@ def _(spark, d):
     docs = tables.table(spark, d, "documents").select(
         (F.col("doc_id") + 1000000).alias("page_id"), F.col("text").alias("raw")
     )
-    t = pages.unionByName(docs).withColumn("t", text.clean_text(F.col("raw")))
+    raw = spread(pages.unionByName(docs), "page_id")
+    t = raw.withColumn("t", text.clean_text(F.col("raw")))
     return t.select(
         "page_id", F.length("t").cast("long").alias("n_clean"), F.md5("t").alias("digest")
     )
@@ -190,11 +191,12 @@ SELECT id, round({hedging_sql('text_clean', 'len(ws)', PHRASES)}, 6) AS hedging_
   round({hedging_sql('text_clean', 'len(ws)', lx.HEDGING_PHRASES)}, 6) AS hedging_default
 FROM base""")
 def _(spark, d):
-    c, n = F.col("text_clean"), F.size(text.words(F.col("text_clean")))
-    df = cleaned(spark, d).withColumn("n", n)
+    df = cleaned(spark, d).select(
+        "id", F.lower("text_clean").alias("low"), F.size(text.words(F.col("text_clean"))).alias("n")
+    )
     return df.select("id", *_r({
-        "hedging_per_100w": text.hedging_rate(c, F.col("n"), PHRASES),
-        "hedging_default": text.hedging_rate(c, F.col("n")),
+        "hedging_per_100w": text.hedging_rate(F.col("low"), F.col("n"), PHRASES),
+        "hedging_default": text.hedging_rate(F.col("low"), F.col("n")),
     }))
 
 

@@ -155,11 +155,10 @@ def _(spark, d):
     posts = prepared(spark, d).select(
         "id", F.col("community").alias("author"), F.col("lang").alias("label"),
         F.col("lang").alias("community"), t.alias("text"), F.length(t).cast("double").alias("upvotes"),
-        F.size(text.words(t)).alias("word_count"),
-    )
-    posts = posts.withColumn(
-        "hedging_per_100w", text.hedging_rate(F.col("text"), F.col("word_count"), PHRASES)
+        F.size(text.words(t)).alias("word_count"), F.lower(t).alias("low"),
     )
+    rate = text.hedging_rate(F.col("low"), F.col("word_count"), PHRASES)
+    posts = posts.withColumn("hedging_per_100w", rate).drop("low")
     stats = authors.author_stats(sampling.stratified_split(posts, "label"))
     return _rounded(stats)
 
