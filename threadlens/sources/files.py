@@ -13,7 +13,6 @@ _CSV = {
     "header": True,
     "escape": '"',
     "nullValue": "\\N",
-    "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
