@@ -23,11 +23,14 @@ def hot(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_exact_quantiles(hot, bounded):
+@pytest.mark.parametrize("limit", [200_000, 2])
+def test_exact_quantiles(hot, limit, monkeypatch):
+    """A limit of two rows forbids every broadcast hint."""
+    plain = ranking.small_side
+    monkeypatch.setattr(ranking, "small_side", lambda df, name: plain(df, name, limit))
     pdf, df = hot
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], "v", probs, bounded_groups=bounded).collect()}
+    got = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], "v", probs).collect()}
     for g, part in pdf.groupby("g"):
         assert got[g]["n"] == len(part)
         assert got[g]["q"] == pytest.approx(part["v"].quantile(probs).tolist(), rel=1e-12)

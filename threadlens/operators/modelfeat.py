@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from threadlens.functions import lexicons as lx
 from threadlens.functions import text
 from threadlens.operators.ranking import small_side
-from threadlens.session import materialize
 
 TOKEN_PATTERN = r"[^\p{L}\p{N}']+"
 
@@ -108,30 +107,26 @@ def corpus_perplexity(
 ) -> DataFrame:
     """Perplexity under an add-k bigram model fit on the training split; null below two tokens.
 
-    Pairs are counted per text first and that table is written once: it feeds the model and the
-    scoring. A frequent pair costs one row per text that uses it, and the joins are plain equi-joins
-    that skew handling can split.
+    Pairs are exploded again for scoring instead of being stored, as splitting a text is cheaper than
+    keeping its pairs. The model counts combine map-side; scoring is a pair of equi-joins that skew
+    handling can split where a pair or a first word is frequent.
     """
     toks = text.words(F.lower(F.col(col)))
     toks = F.slice(toks, 1, max_tokens) if max_tokens else toks
     base = df.select(id_col, split, toks.alias("__w"))
-    second = F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0)))
-    first = F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 1, F.lit(0)))
-    pairs = base.select(id_col, split, F.explode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("p"))
-    per_text = pairs.groupBy(id_col, split, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
-        F.count("*").alias("c")
-    )
-    per_text = materialize(per_text, "pairs")
-    train = per_text.filter(F.col(split) == "train")
-    bigrams = train.groupBy("a", "b").agg(F.sum("c").alias("n_ab"))
+    n_pairs = F.greatest(F.size("__w") - 1, F.lit(0))
+    first, second = F.slice("__w", F.lit(1), n_pairs), F.slice("__w", F.lit(2), n_pairs)
+    both = F.arrays_zip(first.alias("a"), second.alias("b"))
+    pairs = base.select(id_col, split, F.explode(both).alias("p")).select(id_col, split, "p.a", "p.b")
+    bigrams = pairs.filter(F.col(split) == "train").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
     firsts = bigrams.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
     vocabulary = base.filter(F.col(split) == "train").select(F.explode("__w").alias("w")).agg(
         F.countDistinct("w").alias("v")
     ).scalar()
-    scored = per_text.join(bigrams, ["a", "b"], "left").join(firsts, "a", "left")
+    scored = pairs.join(bigrams, ["a", "b"], "left").join(firsts, "a", "left")
     p = (F.coalesce("n_ab", F.lit(0)) + k) / (F.coalesce("n_a", F.lit(0)) + k * vocabulary)
     loss = scored.groupBy(id_col).agg(
-        F.exp(-F.sum(F.log(p) * F.col("c")) / F.sum("c")).alias("perplexity")
+        F.exp(-F.avg(F.log(p))).alias("perplexity")
     )
     return df.select(id_col, split).join(loss, id_col, "left")
 

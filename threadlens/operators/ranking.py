@@ -141,7 +141,7 @@ def top_n_per_group(
 
 def exact_quantiles(
     df: DataFrame, groups: list[str], value: str, probs: list[float], cut: bool = False,
-    bounded_groups: bool = True, margin: float = 0.002,
+    margin: float = 0.002,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; columns: groups, ``n``, ``q`` (array<double>).
 
@@ -161,8 +161,7 @@ def exact_quantiles(
     sketch = vals.groupBy(*keys).agg(
         F.percentile_approx("__v", points, 10_000).alias("__s"), F.count("*").alias("n")
     )
-    if bounded_groups:
-        sketch = small_side(sketch, "sketch")
+    sketch = small_side(sketch, "sketch")
     slice_no = reduce(
         lambda a, b: a + b, [(F.col("__v") > F.col("__s")[i]).cast("int") for i in range(len(points))]
     )
@@ -185,8 +184,7 @@ def exact_quantiles(
     wanted = hits.groupBy(*keys, "__b").agg(
         F.collect_list(F.struct("__slot", "__within")).alias("__w"), F.max("n").alias("n")
     )
-    if bounded_groups:
-        wanted = small_side(wanted, "ranks")
+    wanted = small_side(wanted, "ranks")
     counted = sliced.drop("n").join(wanted, [*keys, "__b"], "left_semi").groupBy(
         *keys, "__b", "__v"
     ).agg(F.count("*").alias("__c"))

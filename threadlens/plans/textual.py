@@ -23,8 +23,13 @@ FIRST = ["the", "la", "i", "me", "er", "ich", "re"]
 def cleaned(spark, d) -> DataFrame:
     """Cleaned documents of at least five characters."""
     docs = spread(tables.texts(spark, d).select("id", "community", "lang", "text"), "id")
-    docs = docs.withColumn("text_clean", text.clean_text(F.col("text")))
-    return docs.filter(F.length("text_clean") >= 5).select("id", "community", "lang", "text_clean")
+    # The partition id is not deterministic, which keeps the optimizer from moving the filter, and
+    # with it the cleaning, below the repartition and into the few scan tasks.
+    docs = docs.withColumns({
+        "text_clean": text.clean_text(F.col("text")), "__part": F.spark_partition_id()
+    })
+    docs = docs.filter((F.length("text_clean") >= 5) & (F.col("__part") >= 0))
+    return docs.select("id", "community", "lang", "text_clean")
 
 
 def prepared(spark, d) -> DataFrame:
