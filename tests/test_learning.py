@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadlens.operators import classify, metrics, project, sampling
+from threadlens.operators import classify, matrix, metrics, project, sampling
 from threadlens.session import fresh_path
 from threadlens.sources import files
 
@@ -87,3 +87,24 @@ def test_empty_checkpoint_folder(spark):
     assert files.merge_checkpoints(spark, path, "id int, safe_content string").count() == 0
     tagged = files.scan_tagged_paths(spark, {"a": path, "b": path}, "id int")
     assert tagged.columns == ["id", "subreddit"]
+
+
+def test_feature_matrix_has_all_families(spark):
+    names = ["hello there friend", "the machine answered this question", "we think it seems fine. Really!"]
+    rows = [
+        (f"a{i % 7}" if i % 11 else None, str(1_700_000_000 + i * 500), f"id{i}", str(i), "c" + str(i % 3), i % 2,
+         "post" if i % 4 == 0 else "comment", f"{names[i % 3]} number {i // 2 if i < 20 else i} stays here", None)
+        for i in range(80)
+    ]
+    cols = ("author string, created_utc string, id string, score string, subreddit string, label int, "
+            "interaction_type string, content string, post_id string")
+    hub = spark.createDataFrame(rows, cols)
+    merged = matrix.merge_sources(hub.filter("label = 0"), hub.filter("label = 1"))
+    built = matrix.build_feature_matrix(merged, topic_count=3, dim=16)
+    assert len(built.features) == 63
+    out = built.rows.toPandas()
+    assert out["text_clean"].is_unique and out["id"].is_unique and len(out) == 70
+    assert set(out["split"]) == {"train", "val", "test"}
+    whole = [f for f in built.features if f not in ("inter_post_std",)]
+    assert not out[whole].isna().any().any()
+    assert all(len(v) == 16 for v in out["embedding"])

@@ -21,7 +21,7 @@ def test_matches_sql(spark, con, key):
 
 
 # Iterative fits on a table this small take long for what they show; the learning tests cover them.
-SLOW = {"kmeans_clusters_3d", "fit_text_classifier", "score_batch", "fit_topics"}
+SLOW = {"kmeans_clusters_3d", "fit_text_classifier", "score_batch", "fit_topics", "feature_matrix"}
 
 
 @pytest.mark.parametrize("key", sorted(k for k, q in load().items() if q.sql is None and k not in SLOW))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.session import materialize
+
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
@@ -78,17 +80,15 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def _running_counts(counts: DataFrame, slices: int = 1000) -> DataFrame:
+def _running_counts(counts: DataFrame) -> DataFrame:
     """Cumulative counts from the highest score down.
 
-    Scores are cut into equal-width slices; slice totals give each slice its starting point, so the
+    Scores are range-partitioned into slices of like size, however they are distributed, and written
+    once, which fixes the slice numbers. Slice totals give each slice its starting point, so the
     ordered sums run per slice and not over one global window.
     """
-    ends = counts.agg(F.struct(F.min("threshold").alias("lo"), F.max("threshold").alias("hi")).alias("e")).scalar()
-    e = F.col("__e")
-    width = (e["hi"] - e["lo"]) / slices
-    at = F.when(width > 0, F.floor((e["hi"] - F.col("threshold")) / width)).otherwise(0)
-    cut = counts.withColumn("__e", ends).withColumn("__b", at).drop("__e")
+    sliced = counts.repartitionByRange(F.desc("threshold")).withColumn("__b", F.spark_partition_id())
+    cut = materialize(sliced, "score-slices")
     totals = cut.groupBy("__b").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.operators import classify, modelfeat, sampling, topics
+from threadlens.operators import classify, matrix, modelfeat, sampling, topics
 from threadlens.operators.textfeat import add_features
 from threadlens.operators.vectors import group_centroid
 from threadlens.plans import sqltext as q
@@ -120,3 +120,20 @@ def _(spark, d):
     )
     model, _ = classify.fit_text_classifier(docs, "text_clean", n_features=1 << 14)
     return model.transform(docs).select("id", "split", "label", "prediction")
+
+
+@query("feature_matrix")
+def _(spark, d):
+    """Conversation turns as posts and comments of agents (assistant, system) and humans (user)."""
+    turns = tables.table(spark, d, "conversations").select(
+        F.col("role").alias("author"),
+        (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("string").alias("created_utc"),
+        F.concat_ws("_", "conv_id", "turn").alias("id"), F.length("text").alias("score"),
+        F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string")).alias("subreddit"),
+        (F.col("role") == "user").cast("int").alias("label"),
+        F.when(F.col("turn") == 0, "post").otherwise("comment").alias("interaction_type"),
+        F.col("text").alias("content"), F.col("conv_id").cast("string").alias("post_id"),
+    )
+    merged = matrix.merge_sources(turns.filter("label = 0"), turns.filter("label = 1"))
+    built = matrix.build_feature_matrix(merged, topic_count=8, dim=64)
+    return built.rows.select("id", "label", "source", "split", *built.features)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import text
-from threadlens.operators import authors, sampling, threads
+from threadlens.operators import authors, batches, sampling, threads
 from threadlens.plans import sqltext as q
 from threadlens.plans.registry import query
 from threadlens.plans.textual import PHRASES, hedging_sql, prepared
@@ -256,3 +256,25 @@ SELECT vec_id AS id, label AS cluster_id, count(*) OVER (PARTITION BY label) AS
 def _(spark, d):
     v = tables.vectors(spark, d).select("id", F.col("label").alias("cluster_id"))
     return authors.cluster_size(v)
+
+
+@query("token_budget_batches", f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id AS id, doc_id // 250 AS shard, len({q.words('text')})::BIGINT AS tk,
+    row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS rn FROM documents
+), r AS (
+  SELECT id, shard, rn, tk, 0 AS batch_no, tk AS used, 1 AS n FROM t WHERE rn = 1
+  UNION ALL
+  SELECT t.id, t.shard, t.rn, t.tk, CASE WHEN used + t.tk > 5000 OR n >= 20 THEN batch_no + 1 ELSE batch_no END,
+    CASE WHEN used + t.tk > 5000 OR n >= 20 THEN t.tk ELSE used + t.tk END,
+    CASE WHEN used + t.tk > 5000 OR n >= 20 THEN 1 ELSE n + 1 END
+  FROM r JOIN t ON t.shard = r.shard AND t.rn = r.rn + 1
+)
+SELECT id, shard, tk AS n_tokens, batch_no FROM r""")
+def _(spark, d):
+    docs = tables.texts(spark, d).select(
+        "id", F.size(text.words(F.col("text"))).cast("long").alias("n_tokens")
+    )
+    return batches.token_budget_batches(
+        docs, "n_tokens", "id", F.floor(F.col("id") / 250), 5000, 20
+    )
