@@ -91,10 +91,11 @@ def test_empty_checkpoint_folder(spark):
 
 def test_feature_matrix_has_all_families(spark):
     names = ["hello there friend", "the machine answered this question", "we think it seems fine. Really!"]
+    same = {i: i - 10 if 10 <= i < 20 else i for i in range(80)}
     rows = [
         (f"a{i % 7}" if i % 11 else None, str(1_700_000_000 + i * 500), f"id{i}", str(i), "c" + str(i % 3), i % 2,
-         "post" if i % 4 == 0 else "comment", f"{names[i % 3]} number {i // 2 if i < 20 else i} stays here", None)
-        for i in range(80)
+         "post" if i % 4 == 0 else "comment", f"{names[j % 3]} number {j} stays here", None)
+        for i, j in same.items()
     ]
     cols = ("author string, created_utc string, id string, score string, subreddit string, label int, "
             "interaction_type string, content string, post_id string")

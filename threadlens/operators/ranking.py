@@ -141,7 +141,7 @@ def top_n_per_group(
 
 def exact_quantiles(
     df: DataFrame, groups: list[str], value: str, probs: list[float], cut: bool = False,
-    margin: float = 0.0002,
+    margin: float = 0.0005,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation; columns: groups, ``n``, ``q`` (array<double>).
 
@@ -159,7 +159,7 @@ def exact_quantiles(
         vals = materialize(vals, "values")
     points = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
     sketch = vals.groupBy(*keys).agg(
-        F.percentile_approx("__v", points, 50_000).alias("__s"), F.count("*").alias("n")
+        F.percentile_approx("__v", points, 10_000).alias("__s"), F.count("*").alias("n")
     )
     sketch = small_side(sketch, "sketch")
     slice_no = reduce(
