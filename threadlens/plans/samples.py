@@ -115,7 +115,7 @@ WITH t AS (
   FROM (VALUES ('1-URGENT', 1000), ('2-HIGH', 50000000), ('5-LOW', 500)) AS t(g, target)
 ), u AS (SELECT *, greatest(target - available, 0) AS shortfall FROM t)
 SELECT *, CASE WHEN shortfall > 0 THEN available
-  ELSE target + (SELECT sum(shortfall) // count(*) FILTER (shortfall = 0) FROM u) END::BIGINT AS adjusted_target
+  ELSE target + (SELECT coalesce(sum(shortfall) // nullif(count(*) FILTER (shortfall = 0), 0), 0) FROM u) END::BIGINT AS adjusted_target
 FROM u""")
 def _(spark, d):
     return s.redistribute_quota(_orders(spark, d).select("community"), "community", _SHORT)
