@@ -15,8 +15,13 @@ from threadlens.operators.ranking import (
 def top_commented(
     df: DataFrame, group: str, score: str, targets: int | dict[str, int], id_col: str = "id"
 ) -> DataFrame:
-    """The n highest-scored rows per community, ties going to the smaller id."""
-    return top_n_per_group(df, group, [F.desc(score), F.asc(id_col)], targets, id_col)
+    """The n highest-scored rows per community, ties going to the smaller id.
+
+    Only (community, score, id) is ranked; the full rows are picked by their unique id afterwards.
+    """
+    narrow = df.select(group, score, id_col)
+    top = top_n_per_group(narrow, group, [F.desc(score), F.asc(id_col)], targets, id_col)
+    return df.join(small_side(top.select(id_col), "top-ids"), id_col, "left_semi").select(*df.columns)
 
 
 def engagement_floor(
@@ -32,9 +37,15 @@ def first_n_clean_per_group(
     df: DataFrame, group: str, text: str, ordinal: str, quota: int | dict[str, int],
     markers: list[str] | None = None,
 ) -> DataFrame:
-    """The first n clean rows of each community in arrival order."""
+    """The first n clean rows of each community in arrival order.
+
+    The text is only read to decide what is clean; (community, ordinal) is ranked and the full rows
+    are picked by their unique ordinal afterwards.
+    """
     clean = df.filter(is_clean(text, markers) if markers is not None else is_clean(text))
-    return top_n_per_group(clean, group, [F.asc(ordinal)], quota, ordinal)
+    first = top_n_per_group(clean.select(group, ordinal), group, [F.asc(ordinal)], quota, ordinal)
+    kept = small_side(first.select(ordinal), "first-ids")
+    return df.join(kept, ordinal, "left_semi").select(*df.columns)
 
 
 def collection_rate(

@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Per-group quotas go beyond the default of 1,000 rows that the map-side limit covers.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
