@@ -35,7 +35,7 @@ def _running_before(keys: list[str], bucket: str, count: str) -> Column:
 
 def hash_cuts(
     df: DataFrame, groups: list[str], id_col: str, seed: int,
-    targets: Callable[[Column], dict[str, Column]], bucket_digits: int = 3,
+    targets: Callable[[Column], dict[str, Column]], bucket_digits: int = 4,
 ) -> DataFrame:
     """Per group, the (hash, id) of the row at each wanted rank of the hash order.
 
