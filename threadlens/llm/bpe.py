@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
 from functools import lru_cache
 
 import duckdb
@@ -29,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Matches per recursive query, and token rows per decoding query: what bounds DuckDB's memory.
@@ -214,26 +214,29 @@ def _tables(blob: bytes, pattern: str) -> Tables:
     return Tables(blob, pattern)
 
 
-def _mapped(df: DataFrame, col: str, out: str, kind: T.DataType, ranks_path: str, pattern: str, method: str) -> DataFrame:
-    with open(ranks_path, "rb") as f:  # on the driver; executors get the ranks by broadcast
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
-    fields = [f for f in df.schema.fields if f.name != out]
-    names = [f.name for f in fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(shared.value, pattern)
-        for batch in batches:
-            made = getattr(tables, method)(batch.column(col))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], names=[*names, out])
-
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, kind)]))
+def _shared(df: DataFrame, ranks_path: str):
+    """The rank file, read on the driver and broadcast: executors need not have it."""
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """Add ``out`` (array<int>): the ids of the whole text, without special tokens."""
-    return _mapped(df, text_col, out, T.ArrayType(T.IntegerType()), ranks_path, pattern, "encode")
+    shared = _shared(df, ranks_path)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        return _tables(shared.value, pattern).encode(texts)
+
+    return df.withColumn(out, ids(F.col(text_col)))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` (binary): the bytes of the ids."""
-    return _mapped(df, ids_col, out, T.BinaryType(), ranks_path, pattern, "decode")
+    shared = _shared(df, ranks_path)
+
+    @F.arrow_udf(T.BinaryType())
+    def text(ids: pa.Array) -> pa.Array:
+        return _tables(shared.value, pattern).decode(ids)
+
+    return df.withColumn(out, text(F.col(ids_col)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, mixing
+from threadlens.llm import bpe, exact_dedup, langid, mixing
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -92,6 +92,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def _fold(parts: int) -> Column:
+    """Fold of a document: crc32 of its id as text, modulo ``parts``; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(0))
+
+
+@_query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 1 of 3 is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _fold(3) == 1
+    model = langid.fit(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.identify(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 @_query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every whole text, and of the bytes decoded from them."""
