@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, langid, mixing
+from threadlens.llm import bpe, exact_dedup, langid, mixing, quality, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -97,6 +97,16 @@ def _fold(parts: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(0))
 
 
+@_query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 0 of 5 is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _fold(5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @_query("op6_langid")
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; fold 1 of 3 is held out."""
@@ -107,6 +117,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+@_query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fold 0 of 5 of the labels is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    graded = docs.select("doc_id", toxicity.grade(docs, model).alias("g")).select("doc_id", "g.*")
+    return graded.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 @_query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every whole text, and of the bytes decoded from them."""
