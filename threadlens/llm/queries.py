@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, langid, mixing, quality, toxicity
+from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, quality, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -78,6 +78,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("row.doc_id", "row.source", "lane", "block", "release_slot", "deadline_slot", "slot", "mix_order")
 
 
+@_query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 EXACT_SQL = r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
     sha256(t) AS text_sha256
