@@ -33,25 +33,40 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (part + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def _log_a(term: Column, log_weight: Column, sample: int) -> Column:
-    """ln a of a word in one sample: ln c - r (t - b) - r."""
-    h1, h2 = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
-    r = -F.ln(_uniform(h1, 0, 21) * _uniform(h1, 21, 21))
-    c = -F.ln(_uniform(h1, 42, 21) * _uniform(h2, 0, 30))
-    b = _uniform(h2, 30, 30)
-    t = F.floor(log_weight / r + b)
-    return F.ln(c) - r * (t - b + 1)
-
-
-def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``fingerprint`` (array<int>). Input partitioned by some of the keys is not shuffled."""
-    words = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"))
-    terms = df.select(*keys, words.alias("word")).select(*keys, F.xxhash64("word").alias("term"))
-    counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    weighed = counts.select(*keys, "term", F.ln("n").alias("log_n"))
-    least = [F.min(_log_a(F.col("term"), F.col("log_n"), k)).alias(f"s{k}") for k in range(samples)]
-    found = weighed.groupBy(*keys).agg(*least)
-    return found.select(*keys, F.array(*[F.hash(f"s{k}") for k in range(samples)]).alias("fingerprint"))
+def _draws(terms: DataFrame, keep: list[str], samples: int) -> DataFrame:
+    """One row per word and sample with its draws r, ln c and b.
+
+    Exploding the samples keeps the compiled code small: one expression instead of ``samples`` of them.
+    """
+    sample = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k")
+    k = F.col("k")
+    rows = terms.select(*keep, "term", sample).select(
+        *keep, "k", F.xxhash64("term", 2 * k).alias("h1"), F.xxhash64("term", 2 * k + 1).alias("h2"))
+    h1, h2 = F.col("h1"), F.col("h2")
+    return rows.select(
+        *keep, "k", (-F.ln(_uniform(h1, 0, 21) * _uniform(h1, 21, 21))).alias("r"),
+        F.ln(-F.ln(_uniform(h1, 42, 21) * _uniform(h2, 0, 30))).alias("log_c"), _uniform(h2, 30, 30).alias("b"),
+    )
+
+
+def fingerprints(df: DataFrame, keys: list[str], texts: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and, under the name of each text column, its fingerprint (array<int>).
+
+    The texts of a row share the draws of their common words. Input partitioned by some of the keys is
+    not shuffled. Keys must be unique.
+    """
+    each = [F.struct(F.lit(i).alias("v"), F.coalesce(F.col(t), F.lit("")).alias("t")) for i, t in enumerate(texts)]
+    words = df.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.v", F.explode(F.split("x.t", r"\s+")).alias("word"))
+    words = words.select(*keys, "v", F.xxhash64("word").alias("term"))
+    counts = words.groupBy(*keys, "term").agg(*[F.count(F.when(F.col("v") == i, 1)).alias(f"n{i}") for i in range(len(texts))])
+    logs = [f"w{i}" for i in range(len(texts))]
+    weighed = counts.select(*keys, "term", *[F.when(F.col(f"n{i}") > 0, F.ln(f"n{i}")).alias(w) for i, w in enumerate(logs)])
+    drawn = _draws(weighed, [*keys, *logs], samples)
+    # ln a = ln c - r (t - b) - r; null where the text lacks the word
+    least = [F.min(F.expr(f"log_c - r * (floor({w} / r + b) - b + 1)")).alias(w) for w in logs]
+    found = drawn.groupBy(*keys, "k").agg(*least).select(*keys, F.struct("k", *[F.hash(w).alias(w) for w in logs]).alias("s"))
+    lists = found.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return lists.select(*keys, *[F.col(f"s.{w}").alias(t) for w, t in zip(logs, texts)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -111,12 +126,8 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("following"), F.lit(1), cut.cast("int")))
     both = both.select("bucket", "rn", "id", "text", edited.alias("edited"))
     about = both.select("bucket", "rn", "id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"))
-    versions = both.select("bucket", "rn", F.explode(F.array(
-        F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")),
-    )).alias("x")).select("bucket", "rn", "x.v", "x.t")
-    made = fingerprints(versions, ["bucket", "rn", "v"], "t", samples).groupBy("bucket", "rn").agg(
-        F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited"),
-    )
+    made = fingerprints(both, ["bucket", "rn"], ["text", "edited"], samples)
+    made = made.select("bucket", "rn", F.col("text").alias("own"), "edited")
     table = materialize(about.join(made, ["bucket", "rn"]), "fingerprints").withColumnRenamed("rn", "at")
     final = with_next(table, ["at"], "own", "after")
     return final.select(
