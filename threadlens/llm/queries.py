@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, quality, toxicity
+from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, quality, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -132,6 +132,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+@_query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return near_dedup.near_classes(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 @_query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every whole text, and of the bytes decoded from them."""
