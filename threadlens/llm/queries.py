@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, quality, toxicity
+from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, quality, suffix_dedup, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -132,6 +132,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+@_query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without byte strings that repeat anywhere."""
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @_query("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
