@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, quality, suffix_dedup, toxicity
+from threadlens.llm import bpe, exact_dedup, fingerprints, langid, lm_score, mixing, near_dedup, quality, suffix_dedup, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -113,6 +113,32 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+LM_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+x AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+p AS (SELECT a.k, a.w AS v, b.w AS w FROM x a JOIN x b ON a.k = b.k AND b.i = a.i + 1),
+uni AS (SELECT w, count(*) AS n FROM x GROUP BY w),
+duo AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
+s AS (
+    SELECT k, ln(duo.n) - ln(uni.n) AS s FROM p JOIN duo USING (v, w) JOIN uni ON uni.w = p.v
+    UNION ALL
+    SELECT k, ln(n) - ln((SELECT sum(n) FROM uni)) FROM x JOIN uni USING (w) WHERE i = 1),
+t AS (SELECT k, sum(s) AS s FROM s GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(t.s / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN t USING (k)
+"""
+
+
+@_query("op5_lm_score", LM_SQL)
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log score of every document under the word-pair counts of all documents."""
+    scored = lm_score.score_corpus(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"))
+
+
 @_query("op6_langid")
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; fold 1 of 3 is held out."""
