@@ -87,7 +87,7 @@ class Model:
             counts = np.bincount(in_uniq[own][hit] * SYMBOLS + s[hit], weights=w[hit], minlength=len(uniq) * SYMBOLS)
             third = self._step(counts.reshape(len(uniq), SYMBOLS), second[pair_of_uniq])
             self.cost[:, :, k] = -np.log2(np.concatenate([first, second, third]))
-        self.cost = self.cost.reshape(-1, len(langs))
+        self.cost = self.cost.reshape(len(self.cost) * SYMBOLS, len(langs))
 
     @staticmethod
     def _step(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
