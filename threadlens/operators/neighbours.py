@@ -253,18 +253,18 @@ def _distances_from(sim: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * sim, 0.0))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of an undirected edge table (a, b).
 
     Each round takes the smallest label among the neighbours and then jumps to the label's own
-    label, so long chains shrink quickly. Every round is written to the shared folder, which cuts
+    label, so long chains shrink quickly; rounds go on until no label changes. Every round is written to the shared folder, which cuts
     the lineage and survives lost executors.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.distinct(), "edges")
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
     labels = materialize(labels, "labels")
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node").select(
             "node", "label", F.least("label", "near").alias("next")
@@ -278,7 +278,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", "label")
         if not moved.filter("changed").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def density_clusters(

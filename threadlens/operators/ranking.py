@@ -28,6 +28,13 @@ def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> Data
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match null keys; the keys of ``left`` stay."""
+    named = right.select(*[F.col(k).alias(f"__right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def _running_before(keys: list[str], bucket: str, count: str) -> Column:
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(count).over(w), F.lit(0))
@@ -64,7 +71,7 @@ def hash_cuts(
     )
     in_bucket = Window.partitionBy(*groups, "__b", "__name").orderBy("__k", "__id")
     found = (
-        base.join(small_side(hit, "ranks"), [*groups, "__b"])
+        null_safe_join(base, small_side(hit, "ranks"), [*groups, "__b"])
         .withColumn("__rn", F.row_number().over(in_bucket))
         .filter(F.col("__rn") == F.col("__want"))
     )
@@ -82,13 +89,17 @@ def hash_key(id_col: str, seed: int) -> Column:
 def position_in_group(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "position"
 ) -> DataFrame:
-    """1-based rank in the group; ``bucket`` must not decrease along the order."""
-    df = df.withColumn("__b", bucket)
-    sizes = df.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
-    sizes = sizes.select(*keys, "__b", _running_before(keys, "__b", "__c").alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
-    ranked = df.withColumn("__rn", inner).join(sizes, [*keys, "__b"])
-    return ranked.withColumn(out, F.col("__before") + F.col("__rn")).drop("__b", "__before", "__rn")
+    """1-based rank in the group; ``bucket`` must not decrease along the order.
+
+    Group and bucket form one struct, which is never null: rows with a null key or bucket stay, and the
+    join meets the partitioning of the window.
+    """
+    df = df.withColumn("__g", F.struct(*keys, bucket.alias("__b")))
+    sizes = df.groupBy("__g").agg(F.count("*").alias("__c")).select("__g", "__g.*", "__c")
+    sizes = sizes.select("__g", _running_before(keys, "__b", "__c").alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__g").orderBy(*order))
+    ranked = df.withColumn("__rn", inner).join(sizes, "__g")
+    return ranked.withColumn(out, F.col("__before") + F.col("__rn")).drop("__g", "__before", "__rn")
 
 
 def previous_in_group(
@@ -97,15 +108,15 @@ def previous_in_group(
     """``value`` of the row before, in the group's order; ``bucket`` must not decrease along it.
 
     Inside a bucket this is a plain lag. The first row of a bucket takes the last value of the
-    bucket before it, from a table with one row per group and bucket.
+    bucket before it, from a table with one row per group and bucket. Rows with a null key or bucket stay.
     """
-    df = df.withColumn("__b", bucket)
-    last = df.groupBy(*keys, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    df = df.withColumn("__g", F.struct(*keys, bucket.alias("__b")))
+    last = df.groupBy("__g").agg(F.max_by(value, F.struct(*order)).alias("__last"))
     before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b"))
-    last = last.select(*keys, "__b", before.alias("__carry"))
-    inner = F.lag(value).over(Window.partitionBy(*keys, "__b").orderBy(*order))
-    joined = df.withColumn("__lag", inner).join(last, [*keys, "__b"])
-    return joined.withColumn(out, F.coalesce("__lag", "__carry")).drop("__b", "__lag", "__carry")
+    last = last.select("__g", "__g.*", "__last").select("__g", before.alias("__carry"))
+    inner = F.lag(value).over(Window.partitionBy("__g").orderBy(*order))
+    joined = df.withColumn("__lag", inner).join(last, "__g")
+    return joined.withColumn(out, F.coalesce("__lag", "__carry")).drop("__g", "__lag", "__carry")
 
 
 def quota_column(group: str, quota: int | dict[str, int]) -> Column:

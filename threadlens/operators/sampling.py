@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.scalars import hash_order
 from threadlens.operators.project import is_clean
 from threadlens.operators.ranking import (
-    hash_cuts, hash_key, quota_column, small_side, top_n_per_group,
+    hash_cuts, hash_key, null_safe_join, quota_column, small_side, top_n_per_group,
 )
 
 
@@ -17,11 +17,12 @@ def top_commented(
 ) -> DataFrame:
     """The n highest-scored rows per community, ties going to the smaller id.
 
-    Only (community, score, id) is ranked; the full rows are picked by their unique id afterwards.
+    Only (community, score, id) is ranked; the full rows are picked by community and id afterwards.
     """
     narrow = df.select(group, score, id_col)
     top = top_n_per_group(narrow, group, [F.desc(score), F.asc(id_col)], targets, id_col)
-    return df.join(small_side(top.select(id_col), "top-ids"), id_col, "left_semi").select(*df.columns)
+    chosen = small_side(top.select(group, id_col), "top-ids")
+    return null_safe_join(df, chosen, [group, id_col], "left_semi").select(*df.columns)
 
 
 def engagement_floor(
@@ -39,13 +40,13 @@ def first_n_clean_per_group(
 ) -> DataFrame:
     """The first n clean rows of each community in arrival order.
 
-    The text is only read to decide what is clean; (community, ordinal) is ranked and the full rows
-    are picked by their unique ordinal afterwards.
+    The text is only read to decide what is clean; (community, ordinal) is ranked and the clean rows
+    are picked by both afterwards, so ordinals may start anew in each community.
     """
     clean = df.filter(is_clean(text, markers) if markers is not None else is_clean(text))
     first = top_n_per_group(clean.select(group, ordinal), group, [F.asc(ordinal)], quota, ordinal)
-    kept = small_side(first.select(ordinal), "first-ids")
-    return df.join(kept, ordinal, "left_semi").select(*df.columns)
+    kept = small_side(first.select(group, ordinal), "first-ids")
+    return null_safe_join(clean, kept, [group, ordinal], "left_semi").select(*df.columns)
 
 
 def collection_rate(
@@ -67,15 +68,16 @@ def collection_rate(
 
 def _pick(df: DataFrame, cuts: DataFrame, groups: list[str], id_col: str, seed: int) -> DataFrame:
     """Rows up to their group's threshold: one pass over the full rows, no shuffle of them."""
-    joined = df.join(small_side(cuts, "cuts"), groups)
+    joined = null_safe_join(df, small_side(cuts, "cuts"), groups)
     return joined.filter(hash_key(id_col, seed) <= F.col("cut")).select(*df.columns)
 
 
 def balance_classes(
     df: DataFrame, label: str = "label", id_col: str = "id", seed: int = 42
 ) -> DataFrame:
-    """Downsample every class to the size of the smallest one, exactly."""
-    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).count()
+    """Downsample every class to the size of the smallest one, exactly. Rows without a label are no class."""
+    df = df.filter(F.col(label).isNotNull())
+    sizes = df.groupBy(label).count()
     smallest = sizes.agg(F.min("count").alias("n")).scalar()
     cuts = hash_cuts(df, [label], id_col, seed, lambda n: {"cut": smallest})
     return _pick(df, cuts, [label], id_col, seed)
@@ -148,14 +150,17 @@ def split_sizes(n):
 def stratified_split(
     df: DataFrame, label: str = "label", id_col: str = "id", seed: int = 42
 ) -> DataFrame:
-    """70/15/15 per class by hash order: a ``split`` column with train, val or test."""
+    """70/15/15 per class by hash order: a ``split`` column with train, val or test.
+
+    Rows without a label are a class of their own.
+    """
     cuts = small_side(hash_cuts(df, [label], id_col, seed, split_sizes), "cuts")
     key = hash_key(id_col, seed)
     split = (
         F.when(key <= F.col("test_cut"), "test").when(key <= F.col("held_cut"), "val")
         .otherwise("train")
     )
-    return df.join(cuts, label).withColumn("split", split).select(*df.columns, "split")
+    return null_safe_join(df, cuts, [label]).withColumn("split", split).select(*df.columns, "split")
 
 
 def split_distribution(df: DataFrame, label: str, classes: list) -> DataFrame:

@@ -56,9 +56,9 @@ def _(spark, d):
 WITH {POSTS}, {COMMENTS}
 SELECT c.id, c.author, c.body, c.parent_id LIKE 't1#_%' ESCAPE '#' AS is_reply_to_comment,
   p.title AS root_post_title, p.selftext AS root_post_text, p.author AS root_post_author
-FROM comments c LEFT JOIN (SELECT * FROM posts WHERE score > 100) p ON replace(c.link_id, 't3_', '') = p.id""")
+FROM comments c LEFT JOIN posts p ON replace(c.link_id, 't3_', '') = p.id""")
 def _(spark, d):
-    posts = tables.thread_posts(spark, d).filter(F.col("score") > 100)
+    posts = tables.thread_posts(spark, d)
     joined = threads.comments_with_root_post(tables.thread_comments(spark, d), posts)
     return joined.select(
         "id", "author", "body", "is_reply_to_comment", "root_post_title", "root_post_text",

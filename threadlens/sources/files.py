@@ -18,18 +18,28 @@ _CSV = {
 }
 
 
+def _texts(df: DataFrame, change) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*[change(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in df.columns])
+
+
 def sink_csv(df: DataFrame, path: str) -> str:
-    """Write one CSV file per partition, with header, without an index column."""
+    """Write one CSV file per partition, with header, without an index column.
+
+    A text that starts with a backslash gets a second one, so that none reads as the null marker.
+    """
+    df = _texts(df, lambda c: F.when(c.startswith("\\"), F.concat(F.lit("\\"), c)).otherwise(c))
     df.write.options(**_CSV).csv(path)
     return path
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Read CSV whose text fields may hold newlines and quotes.
+    """Read CSV written by ``sink_csv``, whose text fields may hold newlines, quotes and backslashes.
 
     A multi-line file is read by one task, so parallelism comes from the number of files.
     """
-    return spark.read.schema(schema).options(multiLine=True, **_CSV).csv(path)
+    df = spark.read.schema(schema).options(multiLine=True, **_CSV).csv(path)
+    return _texts(df, lambda c: F.when(c.startswith("\\"), F.substring(c, F.lit(2), F.length(c))).otherwise(c))
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
