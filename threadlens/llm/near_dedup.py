@@ -4,8 +4,9 @@ Texts that are equal up to white space are one node from the start. A node's shi
 labelled with their occurrence number; for each hash function the two least shingles are kept in the order
 of the text, and hashes of such pairs are grouped into bands. Nodes that share a band are candidates. They
 are not compared pair by pair: each bucket names its least node as centre, every member is aligned with
-it, and members that fail form a new bucket with a new centre, until none is left. So a bucket of n similar
-texts costs n alignments, and texts that only share the band by chance still meet each other.
+it, and members that fail form a new bucket with a new centre. So a bucket of n similar texts costs n
+alignments. Once no bucket has more than ``TASK_MEMBERS`` unresolved members, each is finished inside one
+task in the same way: a member joins the first leader that it links with, or becomes a leader.
 
 A link needs a similarity of at least ``threshold``: shingles inside runs of words that the alignment
 matches in order, over all shingles of both texts. The alignment's band is as wide as the threshold allows
@@ -19,6 +20,7 @@ null ids only. Texts are compared whole. Other columns do not take part.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,10 @@ from threadlens.llm.exact_dedup import HEAVY_GROUPS, collapse_spaces, drop_exact
 from threadlens.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bands of ROWS pairs of least shingles: at a similarity of 0.8 a band is shared with probability 0.4.
-BANDS, ROWS = 16, 2
+#: Bands of ROWS pairs of least shingles: at a similarity of 0.8 a band is shared with probability 0.26, and
+#: one of all bands with 0.999; a passage that makes up a third of two texts brings them together rarely.
+BANDS, ROWS = 24, 3
+TASK_MEMBERS = 500
 _RNG = np.random.default_rng(20240607)
 _SALT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _FACTOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -125,28 +129,59 @@ def matched_runs(a: list[str], b: list[str], band: int) -> list[int] | None:
     return runs
 
 
-def similarity(a: str, b: str, threshold: float = THRESHOLD) -> float:
+class Text:
+    """Words and counted shingles of one text."""
+
+    def __init__(self, text: str):
+        self.words = text.split()
+        self.size = max(1, len(self.words) - SHINGLE + 1)
+        self._shingles: Counter | None = None
+
+    @property
+    def shingles(self) -> Counter:
+        if self._shingles is None:
+            self._shingles = Counter(zip(*(self.words[i:] for i in range(SHINGLE))))
+        return self._shingles
+
+
+def similarity(a: Text, b: Text, threshold: float = THRESHOLD) -> float:
     """Share of shingles that the aligned runs of two texts have in common; 0 if surely below ``threshold``."""
-    x, y = a.split(), b.split()
+    x, y = a.words, b.words
     if x == y:
         return 1.0
-    nx, ny = max(1, len(x) - SHINGLE + 1), max(1, len(y) - SHINGLE + 1)
-    if min(nx, ny) < threshold * max(nx, ny) or min(len(x), len(y)) < SHINGLE:
+    if min(a.size, b.size) < threshold * max(a.size, b.size) or min(len(x), len(y)) < SHINGLE:
         return 0.0
-    left, right = (Counter(zip(*(w[i:] for i in range(SHINGLE)))) for w in (x, y))
-    common = (left & right).total()  # no alignment can match more
-    if common < threshold * (nx + ny - common):
+    common = sum(min(n, b.shingles[g]) for g, n in a.shingles.items() if g in b.shingles)  # no alignment matches more
+    if common < threshold * (a.size + b.size - common):
         return 0.0
-    least = threshold * (nx + ny) / (1 + threshold)
+    least = threshold * (a.size + b.size) / (1 + threshold)
     runs = matched_runs(x, y, int(len(x) + len(y) - 2 * least))
     if runs is None:
         return 0.0
     kept = sum(max(0, r - SHINGLE + 1) for r in runs)
-    return kept / (nx + ny - kept)
+    return kept / (a.size + b.size - kept)
 
 
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similarity(x, y) >= THRESHOLD for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    return pa.array([similarity(Text(x), Text(y)) >= THRESHOLD for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
+def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, node, text), sorted by band, to links (a, b) between members and their leaders."""
+    band, leaders = None, []
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for of, node, raw in zip(*(batch.column(c).to_pylist() for c in ("band", "node", "text"))):
+            if of != band:
+                band, leaders = of, []
+            text = Text(raw)
+            leader = next((n for n, t in leaders if similarity(text, t) >= THRESHOLD), None)
+            if leader is None:
+                leaders.append((node, text))
+            else:
+                found.append((node, leader))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -169,22 +204,26 @@ def links(texts: DataFrame) -> DataFrame:
     bands = F.arrow_udf(_band_lists, T.ArrayType(T.LongType()))
     members = materialize(texts.select("node", F.explode(bands("text")).alias("band")), "members")
     linked = F.arrow_udf(_linked, T.BooleanType())
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     found = None
-    while True:
+    while found is None or _largest(members) > TASK_MEMBERS:
         stars = materialize(_stars(members), "stars")
-        if stars.isEmpty():
-            break
         pairs = stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
         judged = pairs.join(left, "a").join(right, "b").select("a", "b", linked("left", "right").alias("ok"))
         judged = materialize(judged, "judged")
         good = judged.filter("ok").select("a", "b")
         found = good if found is None else found.unionAll(good)
         failed = judged.filter("NOT ok").select(F.col("a").alias("node"), F.col("b").alias("centre"))
         members = materialize(stars.join(failed, ["node", "centre"], "left_semi").select("node", "band"), "members")
-    spark = texts.sparkSession
-    return found if found is not None else spark.createDataFrame([], "a bigint, b bigint")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    rest = members.join(shared, "band", "left_semi").join(texts, "node").select("band", "node", "text")
+    rest = rest.repartition("band").sortWithinPartitions("band", "node")
+    return found.unionAll(rest.mapInArrow(_with_leaders, "a bigint, b bigint"))
+
+
+def _largest(members: DataFrame) -> int:
+    return members.groupBy("band").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:
