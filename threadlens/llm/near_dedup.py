@@ -219,7 +219,7 @@ def links(texts: DataFrame) -> DataFrame:
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     rest = members.join(shared, "band", "left_semi").join(texts, "node").select("band", "node", "text")
     rest = rest.repartition("band").sortWithinPartitions("band", "node")
-    return found.unionAll(rest.mapInArrow(_with_leaders, "a bigint, b bigint"))
+    return materialize(found.unionAll(rest.mapInArrow(_with_leaders, "a bigint, b bigint")), "links")
 
 
 def _largest(members: DataFrame) -> int:
