@@ -17,7 +17,7 @@ counts as seen once. Rows that repeat are scored alike. Words end at ASCII white
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.session import materialize
@@ -76,7 +76,7 @@ def _named(rows: DataFrame, means: DataFrame, id_col: str) -> DataFrame:
 
 
 def _log_counts(occurrences: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(key, s, m): per text, the sum of sign * ln n over occurrences (key, h, sign), and their number.
+    """(key, s): per text, the sum of ln n over occurrences (key, h).
 
     ``heavy`` has at most HEAVY hashes. All others are counted where their occurrences meet for the join.
     """
@@ -84,16 +84,17 @@ def _log_counts(occurrences: DataFrame, heavy: DataFrame) -> DataFrame:
     counts = occurrences.join(marked, "h").groupBy("h").agg(F.count("*").alias("n"))
     counts = materialize(counts, "heavy")
     often = occurrences.join(F.broadcast(counts), "h")
-    light = occurrences.join(marked, "h", "left_anti").repartition("h")
-    rare = light.join(light.groupBy("h").agg(F.count("*").alias("n")), "h")
-    total = lambda df: df.groupBy("key").agg(F.sum(F.col("sign") * F.ln("n")).alias("s"))
+    # A window instead of a join with the grouped counts: each occurrence is shuffled once.
+    light = occurrences.join(marked, "h", "left_anti").select("key", "h")
+    rare = light.withColumn("n", F.count("*").over(Window.partitionBy("h")))
+    total = lambda df: df.groupBy("key").agg(F.sum(F.ln("n")).alias("s"))
     return total(often).unionAll(total(rare))
 
 
 def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_score) of every text under the counts of all texts."""
     rows = _prepared(df, id_col, text_col)
-    pairs = _pairs(rows).select("key", "h", F.lit(1).alias("sign"))
+    pairs = _pairs(rows).select("key", "h")
     guess = pairs.filter(F.pmod("key", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.count("*").alias("n"))
     frequent = _above_share(materialize(guess, "sample"))
     words = rows.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
