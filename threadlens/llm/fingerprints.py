@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from threadlens.session import materialize
 
 SAMPLES = 64
+#: Samples that one row of the aggregation carries.
+STEP = 8
 #: Ids that share a bucket: what one task sorts together.
 BUCKET_IDS = 256
 WIDE_BUCKET = 4096
@@ -34,19 +36,22 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
 
 
 def _draws(terms: DataFrame, keep: list[str], samples: int) -> DataFrame:
-    """One row per word and sample with its draws r, ln c and b.
+    """Rows per word and run of ``STEP`` samples ``k``, with the draws r, ln c and b of each sample in the run.
 
-    Exploding the samples keeps the compiled code small: one expression instead of ``samples`` of them.
+    Exploding the runs keeps the compiled code small; taking several samples at once makes a row's way
+    through the aggregation serve all of them.
     """
-    sample = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k")
-    k = F.col("k")
-    rows = terms.select(*keep, "term", sample).select(
-        *keep, "k", F.xxhash64("term", 2 * k).alias("h1"), F.xxhash64("term", 2 * k + 1).alias("h2"))
-    h1, h2 = F.col("h1"), F.col("h2")
-    return rows.select(
-        *keep, "k", (-F.ln(_uniform(h1, 0, 21) * _uniform(h1, 21, 21))).alias("r"),
-        F.ln(-F.ln(_uniform(h1, 42, 21) * _uniform(h2, 0, 30))).alias("log_c"), _uniform(h2, 30, 30).alias("b"),
-    )
+    runs = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // STEP) - 1))).alias("k")
+    hashes, draws = [], []
+    for j in range(STEP):
+        at = 2 * (F.col("k") * STEP + j)
+        hashes += [F.xxhash64("term", at).alias(f"h{j}"), F.xxhash64("term", at + 1).alias(f"g{j}")]
+        h, g = F.col(f"h{j}"), F.col(f"g{j}")
+        draws += [
+            (-F.ln(_uniform(h, 0, 21) * _uniform(h, 21, 21))).alias(f"r{j}"),
+            F.ln(-F.ln(_uniform(h, 42, 21) * _uniform(g, 0, 30))).alias(f"log_c{j}"), _uniform(g, 30, 30).alias(f"b{j}"),
+        ]
+    return terms.select(*keep, "term", runs).select(*keep, "k", *hashes).select(*keep, "k", *draws)
 
 
 def fingerprints(df: DataFrame, keys: list[str], texts: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -63,10 +68,14 @@ def fingerprints(df: DataFrame, keys: list[str], texts: list[str], samples: int
     weighed = counts.select(*keys, "term", *[F.when(F.col(f"n{i}") > 0, F.ln(f"n{i}")).alias(w) for i, w in enumerate(logs)])
     drawn = _draws(weighed, [*keys, *logs], samples)
     # ln a = ln c - r (t - b) - r; null where the text lacks the word
-    least = [F.min(F.expr(f"log_c - r * (floor({w} / r + b) - b + 1)")).alias(w) for w in logs]
-    found = drawn.groupBy(*keys, "k").agg(*least).select(*keys, F.struct("k", *[F.hash(w).alias(w) for w in logs]).alias("s"))
+    least = [
+        F.min(F.expr(f"log_c{j} - r{j} * (floor({w} / r{j} + b{j}) - b{j} + 1)")).alias(f"{w}_{j}")
+        for w in logs for j in range(STEP)
+    ]
+    run = [F.array(*[F.hash(f"{w}_{j}") for j in range(STEP)]).alias(w) for w in logs]
+    found = drawn.groupBy(*keys, "k").agg(*least).select(*keys, F.struct("k", *run).alias("s"))
     lists = found.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return lists.select(*keys, *[F.col(f"s.{w}").alias(t) for w, t in zip(logs, texts)])
+    return lists.select(*keys, *[F.slice(F.flatten(f"s.{w}"), 1, samples).alias(t) for w, t in zip(logs, texts)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
