@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadlens.operators import ranking, sampling
-from threadlens.sources.files import scan_csv, sink_csv
+from threadlens.sources.files import merge_checkpoints, scan_csv, sink_csv
 
 
 def test_null_labels_are_a_stratum(spark):
@@ -36,3 +36,8 @@ def test_csv_keeps_backslashes(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     path = sink_csv(df, str(tmp_path / "out"))
     assert {r["id"]: r["text"] for r in scan_csv(spark, path, df.schema).collect()} == dict(enumerate(texts))
+
+
+def test_missing_checkpoint_folder_is_empty(spark, tmp_path):
+    merged = merge_checkpoints(spark, str(tmp_path / "absent"), "id long, text string, safe_content string")
+    assert merged.columns == ["id", "text"] and merged.count() == 0

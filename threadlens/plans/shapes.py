@@ -112,9 +112,10 @@ def _(spark, d):
 SELECT event_id, epoch_us(ts) // 1000000 AS created_utc FROM events
 WHERE epoch_us(ts) // 1000000 BETWEEN 1704412800 AND 1705276799""")
 def _(spark, d):
-    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
-    ev = tables.table(spark, d, "events").select("event_id", sec.alias("created_utc"))
-    return p.filter_time_range(ev, "created_utc", 1704412800, 1705276799)
+    # The bounds are in the type of the stored column, so that the scan prunes by them.
+    start, end = (F.expr(f"TIMESTAMP_NTZ '2024-01-{t}'") for t in ("05 00:00:00", "14 23:59:59.999999"))
+    ev = p.filter_time_range(tables.table(spark, d, "events"), "ts", start, end)
+    return ev.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_utc"))
 
 
 @query("filter_recent_window", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -87,8 +88,13 @@ def scan_tagged_paths(
 def merge_checkpoints(
     spark: SparkSession, path: str, schema: StructType | str, temp_columns: tuple = ("safe_content",)
 ) -> DataFrame:
-    """All part files below a folder as one table; an empty folder gives an empty table."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    """All part files below a folder as one table; an empty or missing folder gives an empty table."""
+    try:
+        df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
     return df.drop(*temp_columns)
 
 
