@@ -89,18 +89,6 @@ VALENCE = {
     "lose": -1.7, "poor": -2.1, "error": -1.7,
 }
 
-# Tiered collection quotas, posts per community.
-TIER_QUOTAS = {
-    **dict.fromkeys(
-        ["askscience", "books", "buildapc", "DIY", "explainlikeimfive", "history", "IWantToLearn",
-         "LifeProTips", "personalfinance", "philosophy", "Showerthoughts", "tifu"], 10_000),
-    "YouShouldKnow": 5_000,
-    **dict.fromkeys(["GetMotivated", "gadgets", "space", "todayilearned"], 3_000),
-}
-
-# Most-commented posts wanted per community.
-TOP_POST_TARGETS = {"philosophy": 3305, "todayilearned": 2445, "technology": 1876}
-
 # Request limits of the embedding batcher and the per-minute token budget.
 MAX_TOKENS_PER_REQUEST = 250_000
 MAX_ROWS_PER_REQUEST = 1_000
