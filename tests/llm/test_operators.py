@@ -167,6 +167,24 @@ def test_near_classes(spark, edge, empty):
     assert kept.filter("doc_id IN (0, 3, 4, 8, 15)").select("doc_id").distinct().count() == 5
 
 
+def test_near_classes_links_beside_the_centre(spark, monkeypatch):
+    """Texts that link with one member of a large family only, and never with the centre of a band."""
+    base = _prose(200, 9).split()
+
+    def changed(words, places, mark):
+        return [f"{mark}{i}" if i in places else w for i, w in enumerate(words)]
+
+    family = [changed(base, {3 + i}, f"f{i}") for i in range(60)]
+    v = changed(base, {70, 80, 90}, "v")
+    beside = [changed(v, {100 + i, 120 + i, 140 + i, 160 + i}, f"x{i}") for i in range(10)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*family, v, *beside])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not any(near_dedup.similarity(near_dedup.Text(rows[-1][1]), near_dedup.Text(t)) >= 0.8 for _, t in rows[:60])
+    for most in (500, 7):  # one block a band, and many
+        monkeypatch.setattr(near_dedup, "TASK_MEMBERS", most)
+        assert {r["class_id"] for r in near_dedup.near_classes(docs).collect()} == {0}
+
+
 def test_bpe(edge, empty):
     ranks = bpe.Tables(open(RANKS, "rb").read(), public_tokenizers.PATTERN).ranks
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

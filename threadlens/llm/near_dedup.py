@@ -8,6 +8,12 @@ it, and members that fail form a new bucket with a new centre. So a bucket of n
 alignments. Once no bucket has more than ``TASK_MEMBERS`` unresolved members, each is finished inside one
 task in the same way: a member joins the first leader that it links with, or becomes a leader.
 
+That leaves candidates out that were never aligned with each other, because one of them had left the bucket.
+So the bands are looked at again with the components found so far: whatever shares a band and is in different
+components is compared (``_across``), until it is linked or known not to be. Shared shingles bound the
+similarity from above and are counted by an index, so only few pairs are aligned. Every pair of nodes
+that share a band is therefore in one class or surely below the threshold.
+
 A link needs a similarity of at least ``threshold``: shingles inside runs of words that the alignment
 matches in order, over all shingles of both texts. The alignment's band is as wide as the threshold allows
 edits. Classes are connected components of the links.
@@ -30,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm.exact_dedup import HEAVY_GROUPS, collapse_spaces, drop_exact_copies
+from threadlens.operators.ranking import small_side
 from threadlens.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -199,10 +206,14 @@ def _stars(members: DataFrame) -> DataFrame:
     return inside.unionAll(rest).filter("node <> centre")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(a, b): verified links between nodes of ``texts`` (node, text), enough to connect every class."""
+def band_members(texts: DataFrame) -> DataFrame:
+    """(node, band) of ``texts`` (node, text)."""
     bands = F.arrow_udf(_band_lists, T.ArrayType(T.LongType()))
-    members = materialize(texts.select("node", F.explode(bands("text")).alias("band")), "members")
+    return materialize(texts.select("node", F.explode(bands("text")).alias("band")), "members")
+
+
+def links(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): verified links between nodes of ``texts`` (node, text) and centres or leaders of their bands."""
     linked = F.arrow_udf(_linked, T.BooleanType())
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
@@ -222,6 +233,123 @@ def links(texts: DataFrame) -> DataFrame:
     return materialize(found.unionAll(rest.mapInArrow(_with_leaders, "a bigint, b bigint")), "links")
 
 
+class _Index:
+    """Texts of a block with the shingles that they hold, and the labels linked so far in a task."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.labels = [label for label, _ in rows]
+        self.texts = [Text(raw) for _, raw in rows]
+        self.sizes = np.array([t.size for t in self.texts])
+        self.hashes = [_text_shingles(t) for t in self.texts]
+        keys = np.concatenate(self.hashes)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.owner = np.repeat(np.arange(len(rows)), [len(h) for h in self.hashes])[order]
+
+    def near(self, text: Text, hashes: np.ndarray) -> np.ndarray:
+        """Places of the texts that share enough shingles with ``text``, those with most first."""
+        start = np.searchsorted(self.keys, hashes, side="left")
+        n = np.searchsorted(self.keys, hashes, side="right") - start
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        common = np.bincount(self.owner[at], minlength=len(self.texts))
+        some = np.flatnonzero(common >= THRESHOLD * (text.size + self.sizes - common) - 1e-9)
+        return some[np.argsort(-common[some], kind="stable")]
+
+
+def _text_shingles(text: Text) -> np.ndarray:
+    return _shingles(pd.util.hash_array(np.array(text.words, dtype=object), categorize=False))
+
+
+def _between_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, lo, hi, late, label, text), sorted, to links (a, b) between labels.
+
+    Of each (band, lo, hi), the rows that are not late are held and indexed, the late ones pass by them. If
+    lo is hi there are no late rows, and the held ones are compared with each other.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def compare(index: _Index, label: int, text: Text, hashes: np.ndarray, found: list) -> None:
+        for j in index.near(text, hashes).tolist():
+            a, b = root(label), root(index.labels[j])
+            if a != b and similarity(text, index.texts[j]) >= THRESHOLD:
+                parent[a] = b
+                found.append((label, index.labels[j]))
+
+    def inside(held: list, found: list) -> None:
+        index = _Index(held)
+        for label, text, hashes in zip(index.labels, index.texts, index.hashes):
+            compare(index, label, text, hashes, found)
+
+    cell, held, index, found = None, [], None, []
+    for batch in batches:
+        for band, lo, hi, late, label, raw in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if (band, lo, hi) != cell:
+                if cell and cell[1] == cell[2] and held:
+                    inside(held, found)
+                cell, held, index = (band, lo, hi), [], None
+            if not late:
+                held.append((label, raw))
+            elif held:
+                index = index or _Index(held)
+                text = Text(raw)
+                compare(index, label, text, _text_shingles(text), found)
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found = []
+    if cell and cell[1] == cell[2] and held:
+        inside(held, found)
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _across(texts: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): links between labels whose nodes share a band, enough to join all that belong together.
+
+    The nodes of a band are cut into blocks of about ``TASK_MEMBERS``, the largest component apart from
+    the others. Every pair of blocks meets in one cell, but for those within the largest component.
+    """
+    known = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    known = materialize(known, "known")
+    kinds = known.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    blocks = lambda n: F.ceil(n / TASK_MEMBERS).cast("int")
+    kinds = kinds.filter("most < size").select(
+        "band", "size", "main", blocks(F.col("most")).alias("own"), blocks(F.col("size") - F.col("most")).alias("other"))
+    kinds = materialize(kinds, "mixed")
+    large = F.col("size") * HEAVY_GROUPS > known.count()
+    heavy, light = F.broadcast(kinds.filter(large)), kinds.filter(~large)
+    cols = ["band", "node", "label", "main", "own", "other"]
+    mixed = known.join(heavy, "band").select(cols).unionAll(
+        known.join(heavy, "band", "left_anti").join(light, "band").select(cols))
+    place = F.xxhash64("node")
+    block = F.when(F.col("label") == F.col("main"), F.pmod(place, "own")).otherwise(F.col("own") + F.pmod(place, "other"))
+    mixed = mixed.withColumn("g", block.cast("int")).withColumn("all", F.expr("sequence(0, own + other - 1)"))
+    cells = F.expr("""concat(
+        transform(filter(all, x -> g >= own AND x <= g), x -> struct(x AS lo, g AS hi, false AS late)),
+        transform(filter(all, x -> x >= own AND x > g), x -> struct(g AS lo, x AS hi, true AS late)))""")
+    rows = mixed.select("band", "node", "label", F.explode(cells).alias("c")).select("band", "c.*", "node", "label")
+    rows = rows.join(texts, "node").select("band", "lo", "hi", "late", "label", "text")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "late", "label")
+    return materialize(rows.mapInArrow(_between_labels, "a bigint, b bigint"), "across")
+
+
+def connected(texts: DataFrame) -> DataFrame:
+    """(node, label): nodes of ``texts`` (node, text) with the same label are one class; nodes of their own may be absent."""
+    members = band_members(texts)
+    labels = components(links(texts, members))
+    more = _across(texts, members, labels)
+    if more.isEmpty():
+        return labels
+    further = components(more).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    full = texts.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    full = full.join(small_side(further, "further"), "label", "left")
+    return materialize(full.select("node", F.coalesce("last", "label").alias("label")), "labels")
+
+
 def _largest(members: DataFrame) -> int:
     return members.groupBy("band").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
@@ -256,7 +384,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = drop_exact_copies(rows, "id", "text").select(node_of("text").alias("node"), "text")
     texts = materialize(first, "texts")
     ids = materialize(rows.select("id", node_of("text").alias("node")), "nodes")
-    labels = components(links(texts))
+    labels = connected(texts)
     nodes = ids.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     nodes = nodes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label"))
     nodes = materialize(nodes, "nodes")
