@@ -1,7 +1,7 @@
 """Corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 Language ID, exact deduplication, near deduplication, mixing, byte-level BPE. Stages hand through all
-columns and rows that they keep; the last one adds the token ids.
+columns and rows that they keep; the last one adds the place in the mix and the token ids.
 """
 
 from __future__ import annotations
@@ -35,10 +35,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether decoding them gives the text back."""
+    """Lane and place in the mix, token ids of each text, and whether decoding them gives the text back.
+
+    Files do not keep an order once they are read as splits, so the place is worked out again, from the same
+    rows with the same result, and kept as ``lane`` and ``mix_order``. Rows are written sorted by it.
+    """
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = mixing.mix(docs).orderBy("mix_order").select("row.*", "lane", "mix_order")
     both = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("decoded")
@@ -52,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, sorted into the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.orderBy("mix_order")

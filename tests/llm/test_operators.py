@@ -245,3 +245,22 @@ def test_pipeline_matches_brute_force(spark):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert ids == sorted(i for i in want if root(i) == i)
+
+
+def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, _prose(1 + i % 40, i), "b" if i % 3 == 0 else "a") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[3:])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 150)
+    try:
+        out = pipeline.run(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(out.inputFiles()) > 10
+    got = out.collect()
+    assert len(got) == 3000 and [r["mix_order"] for r in got] == sorted({r["mix_order"] for r in got})
+    assert all(r["lane"] == r["source"] for r in got)
+    share = 1000 ** 0.5 / (1000 ** 0.5 + 2000 ** 0.5)
+    for n in range(64, 2200, 64):  # both sources last that long
+        assert abs(sum(r["source"] == "b" for r in got[:n]) - share * n) < 64 + n / mixing.CYCLE
