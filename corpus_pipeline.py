@@ -14,8 +14,13 @@ from threadlens.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without any letter, or null, go."""
+    """Documents whose language is recognised; those without any letter, or null, go.
+
+    If no row has a language to learn from, every text with a letter stays.
+    """
     model = langid.fit(docs)
+    if not model.langs:
+        return docs.filter(langid.has_letter(docs))
     return docs.filter(langid.identify(docs, model)["lang"] != langid.UNKNOWN)
 
 

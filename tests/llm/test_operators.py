@@ -264,3 +264,11 @@ def test_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
     share = 1000 ** 0.5 / (1000 ** 0.5 + 2000 ** 0.5)
     for n in range(64, 2200, 64):  # both sources last that long
         assert abs(sum(r["source"] == "b" for r in got[:n]) - share * n) < 64 + n / mixing.CYCLE
+
+
+def test_pipeline_without_labels_keeps_documents(spark, edge):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = edge.withColumn("lang", F.lit(None).cast("string"))
+    kept = pipeline.language(spark, docs, SF)
+    want = [r["text"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted(want) and want

@@ -155,6 +155,16 @@ def fit(
     return Model(langs, code, got["key"].to_numpy(), got["n"].to_numpy(), max_contexts)
 
 
+def has_letter(df: DataFrame, text_col: str = "text") -> Column:
+    """Whether a text could be given a language: it is not null and has a letter."""
+
+    @F.arrow_udf(T.BooleanType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], pa.bool_())
+
+    return run(F.col(text_col))
+
+
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column struct<lang: string, score: double> for the texts of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
