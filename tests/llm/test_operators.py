@@ -123,6 +123,41 @@ def test_language(spark, edge, empty):
     assert np.exp2(-model.cost[:, 0].reshape(-1, langid.SYMBOLS)[:, :langid.PAD]).sum(axis=1).max() <= 1 + 1e-6
 
 
+def test_language_code_lengths_are_exact(spark):
+    """Several scripts, more byte values and contexts than any table of fixed size; some texts begin with zero bytes."""
+    rng = random.Random(5)
+    wide = lambda n: "".join(chr(rng.choice([rng.randint(0, 127), rng.randint(128, 2047), rng.randint(2048, 40000)])) for _ in range(n))
+    train = [(i, wide(9000), f"l{i % 3}") for i in range(6)] + [(6, "\0\0ab", "l0"), (7, "rare", "l3")]
+    model = langid.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["l0", "l1", "l2", "l3"]
+    counts = {}
+    for _, text, lang in train:
+        b = [-1, -1, -1, *text.encode()]
+        for i in range(3, len(b)):
+            for size in range(4):
+                counts.setdefault((lang, *b[i - size:i]), Counter())[b[i]] += 1
+
+    def bits(text, lang):
+        b, total = [-1, -1, -1, *text.encode()], 0.0
+        for i in range(3, len(b)):
+            p = 1.0
+            for size in (3, 2, 1, 0, None):
+                if size is None:
+                    p /= 256
+                elif seen := counts.get((lang, *b[i - size:i])):
+                    p *= (seen[b[i]] or len(seen)) / (seen.total() + len(seen))
+                    if seen[b[i]]:
+                        break
+            total -= np.log2(p)
+        return total
+
+    texts = ["", "\0x", *[t[100:400] for _, t, _ in train[:3]], wide(200), "rare"]
+    import pyarrow as pa
+    want = [[bits(t, lang) for lang in model.langs] for t in texts]
+    assert np.allclose(model.bits(pa.array(texts)), want, rtol=1e-4)
+    assert model.predict(pa.array(texts))[0][-1] == "l3"
+
+
 def test_suffix_dedup(edge, empty):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in edge.collect()]
     seen = Counter(b[p:p + 200] for _, b in rows for p in range(len(b) - 199))

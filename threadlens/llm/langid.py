@@ -3,13 +3,13 @@
 Every language has a context tree of order three with the counts of a bounded sample of its documents.
 In a context seen n times with d distinct next bytes, a byte seen c times costs -log2(c / (n + d)) bits;
 another byte costs the escape, -log2(d / (n + d)), plus its cost in the context that is one byte
-shorter, down to a uniform distribution over 256 bytes. Statistics are frozen, so the costs of all
-(context, byte) pairs are tabulated once, and the code length of a text is a sum of table entries.
-The shortest code names the language; the score is 2^-bits of that language over the sum of all.
+shorter, down to a uniform distribution over 256 bytes. Statistics are frozen, so the costs of all counted
+strings and the escapes of all contexts are tabulated once, as sorted keys for each language; a lookup is a
+binary search, made once for each different four-byte string of a slice. The code length of a text is the
+sum over its bytes. The shortest code names the language; the score is 2^-bits of that language over the sum of all.
 
-Bounds of the model, all parameters: ``docs_per_lang`` whole documents a language, the ``max_grams`` most
-frequent four-byte strings, 126 byte values (others share one symbol), and the ``max_contexts`` most
-frequent contexts of three bytes (others back off to two bytes).
+The only bound of the model is the sample, ``docs_per_lang`` whole documents a language; all their bytes, four-byte
+strings and contexts count.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so is every text when
 nothing is labelled. Rows with a null language or text do not train. Columns are handed through.
@@ -18,6 +18,7 @@ nothing is labelled. Rows with a null language or text do not train. Columns are
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -28,73 +29,74 @@ from pyspark.sql import types as T
 from threadlens.operators.ranking import top_n_per_group
 
 DOCS_PER_LANG = 500
-MAX_GRAMS = 2_000_000
-MAX_CONTEXTS = 1 << 14
-SYMBOLS, PAD, OTHER = 128, 126, 127
+#: Bytes, the symbol before the start of a text, and the bits that a symbol takes in a key.
+SYMBOLS, PAD, BITS = 256, 256, 9
+ORDER = 3
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
+def _packed(c: np.ndarray) -> np.ndarray:
+    """Each symbol from the fourth on, with the three before it."""
+    return c[:-3] << 3 * BITS | c[1:-2] << 2 * BITS | c[2:-1] << BITS | c[3:]
+
+
 def _gram_counts(texts: pa.Array) -> pa.Array:
-    """Per text, the packed four-byte strings (zero bytes before the start) and their counts."""
+    """Per text, the packed four-byte strings (padding before the start) and their counts."""
     out = []
     for text in texts.to_pylist():
-        b = np.frombuffer(b"\0\0\0" + (text or "").encode(), dtype=np.uint8).astype(np.int64)
-        keys, n = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_counts=True)
+        b = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.int64)
+        keys, n = np.unique(_packed(np.concatenate([np.full(ORDER, PAD), b])), return_counts=True)
         out.append([{"key": k, "n": c} for k, c in zip(keys.tolist(), n.tolist())])
     return pa.array(out, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Model:
-    """Tabulated code lengths: ``cost[row[context], byte]`` in bits for each language."""
+    """Code lengths in bits of the counted strings and of the escapes, for each language and order."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray, max_contexts: int):
+    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray):
         self.langs = langs
-        grams = np.stack([key >> 24 & 255, key >> 16 & 255, key >> 8 & 255, key & 255], axis=1)
-        seen = np.bincount(grams[:, 3], weights=n, minlength=256)
-        kept = np.argsort(-seen, kind="stable")[:PAD]
-        self.code = np.full(256, OTHER, dtype=np.int64)
-        self.code[kept[seen[kept] > 0]] = np.arange(int((seen[kept] > 0).sum()))
-        # A zero byte before the start is padding; inside a text it takes its own symbol as the last byte.
-        c = self.code[grams]
-        for i in range(3):
-            c[:, i] = np.where((grams[:, :i + 1] == 0).all(axis=1), PAD, c[:, i])
-        two, three = c[:, 1] << 7 | c[:, 2], c[:, 0] << 14 | c[:, 1] << 7 | c[:, 2]
-        uniq, at = np.unique(three, return_inverse=True)
-        weight = np.bincount(at, weights=n)
-        uniq = np.sort(uniq[np.argsort(-weight, kind="stable")[:max_contexts]])
-        pairs = np.unique(two)
-        base3, base2 = SYMBOLS + len(pairs), SYMBOLS
-        one_of = np.arange(1 << 21) & 127
-        self.row = one_of.astype(np.int32)
-        pair_row = np.full(1 << 14, -1, dtype=np.int32)
-        pair_row[pairs] = base2 + np.arange(len(pairs))
-        of_pair = pair_row[np.arange(1 << 21) & (1 << 14) - 1]
-        self.row = np.where(of_pair >= 0, of_pair, self.row)
-        self.row[uniq] = base3 + np.arange(len(uniq))
-        self.cost = np.empty((base3 + len(uniq), SYMBOLS, len(langs)), dtype=np.float32)
-        pair_of_uniq = pair_row[uniq & (1 << 14) - 1] - base2
-        in_uniq = np.minimum(np.searchsorted(uniq, three), max(len(uniq) - 1, 0))
-        for k in range(len(langs)):
-            own = lang == k
-            s, w = c[own, 3], n[own].astype(np.float64)
-            table = lambda rows, size: np.bincount(rows * SYMBOLS + s, weights=w, minlength=size * SYMBOLS).reshape(size, SYMBOLS)
-            zero = self._step(table(np.zeros(own.sum(), dtype=np.int64), 1), np.full((1, SYMBOLS), 1 / 256))
-            first = self._step(table(c[own, 2], SYMBOLS), zero)
-            second = self._step(table(np.searchsorted(pairs, two[own]), len(pairs)), first[pairs & 127])
-            hit = uniq[in_uniq[own]] == three[own] if len(uniq) else np.zeros(0, dtype=bool)
-            counts = np.bincount(in_uniq[own][hit] * SYMBOLS + s[hit], weights=w[hit], minlength=len(uniq) * SYMBOLS)
-            third = self._step(counts.reshape(len(uniq), SYMBOLS), second[pair_of_uniq])
-            self.cost[:, :, k] = -np.log2(np.concatenate([first, second, third]))
-        self.cost = self.cost.reshape(len(self.cost) * SYMBOLS, len(langs))
+        order = np.argsort(lang, kind="stable")
+        ends = np.searchsorted(lang[order], np.arange(len(langs) + 1))
+        own = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.tables = [[self._table(key[o], n[o], size) for size in range(ORDER, -1, -1)] for o in own]
 
     @staticmethod
-    def _step(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-        all_of = np.maximum(total + kinds, 1)
-        known = np.where(count > 0, count / all_of, kinds / all_of * shorter)
-        return np.where(total > 0, known, shorter)
+    def _table(key: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Strings with a context of ``size`` bytes and their bits, contexts and the bits of their escapes."""
+        grams, at = np.unique(key & (1 << BITS * (size + 1)) - 1, return_inverse=True)
+        count = np.bincount(at, weights=n)
+        contexts, of = np.unique(grams >> BITS, return_inverse=True)
+        kinds = np.bincount(of)
+        all_of = np.bincount(of, weights=count) + kinds
+        return grams, -np.log2(count / all_of[of]), contexts, -np.log2(kinds / all_of)
+
+    def costs(self, keys: np.ndarray, lang: int) -> np.ndarray:
+        """Bits of the last byte of each packed string in language number ``lang``."""
+        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+        for size, (grams, bits, contexts, escapes) in zip(range(ORDER, -1, -1), self.tables[lang]):
+            keys = keys & (1 << BITS * (size + 1)) - 1
+            at, hit = _found(grams, keys)
+            out[todo[hit]] += bits[at[hit]]
+            todo, keys = todo[~hit], keys[~hit]
+            at, seen = _found(contexts, keys >> BITS)
+            out[todo[seen]] += escapes[at[seen]]
+        out[todo] += 8  # uniform over 256 bytes
+        return out
+
+    @property
+    def cost(self) -> np.ndarray:
+        """Bits of every byte (rows context by context) after all longest contexts, for each language."""
+        contexts = np.unique(np.concatenate([t[0][2] for t in self.tables]))
+        keys = (contexts[:, None] << BITS | np.arange(SYMBOLS)).ravel()
+        return np.stack([self.costs(keys, k) for k in range(len(self.langs))], axis=1)
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Code length of each text in each language."""
@@ -106,22 +108,23 @@ class Model:
         starts = ends[:-1]
         for lo in range(0, len(flat), SLICE_BYTES):
             hi = min(lo + SLICE_BYTES, len(flat))
-            c = np.full(hi - lo + 3, PAD, dtype=np.int64)
-            have = flat[max(0, lo - 3):hi]
-            c[len(c) - len(have):] = self.code[have]
-            three = c[:-3] << 14 | c[1:-2] << 7 | c[2:-1]
-            for j in range(3):  # the bytes before a text's start are padding
+            c = np.full(hi - lo + ORDER, PAD, dtype=np.int64)
+            have = flat[max(0, lo - ORDER):hi]
+            c[len(c) - len(have):] = have
+            keys = _packed(c)
+            for j in range(ORDER):  # the bytes before a text's start are padding
                 at = starts + j
                 at = at[(at >= lo) & (at < hi) & (at < ends[1:])] - lo
-                padded = PAD << 14 | PAD << 7 | PAD
-                keep = three[at] & ((1 << 7 * j) - 1)
-                three[at] = padded >> 7 * j << 7 * j & (1 << 21) - 1 | keep
-            cost = self.cost[self.row[three].astype(np.int64) * SYMBOLS + c[3:]]
+                padded = PAD << 3 * BITS | PAD << 2 * BITS | PAD << BITS
+                low = BITS * (j + 1)
+                keys[at] = padded >> low << low | keys[at] & (1 << low) - 1
+            code, different = pd.factorize(keys)
             first, last = np.searchsorted(ends, lo, side="right") - 1, np.searchsorted(ends, hi, side="left")
             docs = np.arange(first, last)
             a, b = np.maximum(ends[docs], lo) - lo, np.minimum(ends[docs + 1], hi) - lo
             docs, a = docs[b > a], a[b > a]
-            out[docs] += np.add.reduceat(cost, a, axis=0, dtype=np.float64)
+            for k in range(len(self.langs)):
+                out[docs, k] += np.add.reduceat(self.costs(different, k)[code], a)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -136,11 +139,11 @@ class Model:
 
 def fit(
     df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS, max_contexts: int = MAX_CONTEXTS,
+    docs_per_lang: int = DOCS_PER_LANG,
 ) -> Model:
     """A model of the languages in ``lang_col`` from a bounded sample, drawn by a hash of the id.
 
-    Grams are counted on the executors; the driver gets the ``max_grams`` most frequent.
+    Grams are counted on the executors; the driver gets the counts of the sample.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("o", F.xxhash64("id", F.length("text")))
@@ -149,10 +152,10 @@ def fit(
     kind = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
     grams = F.arrow_udf(_gram_counts, kind)
     counts = sample.select("lang", F.explode(grams("text")).alias("g")).groupBy("lang", "g.key").agg(F.sum("g.n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "lang", "key").limit(max_grams).toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
-    code = np.array([langs.index(x) for x in got["lang"].to_pylist()], dtype=np.int64)
-    return Model(langs, code, got["key"].to_numpy(), got["n"].to_numpy(), max_contexts)
+    got = counts.toArrow()
+    langs = sorted(set(got["lang"].unique().to_pylist()))
+    code = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+    return Model(langs, code, got["key"].to_numpy(), got["n"].to_numpy())
 
 
 def has_letter(df: DataFrame, text_col: str = "text") -> Column:
