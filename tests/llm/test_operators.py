@@ -78,6 +78,26 @@ def test_mixing(spark, edge, empty):
     assert partly.count() == 4000
 
 
+def test_mixing_in_levels(spark):
+    """Sources below one tick are mixed to their weights as well, and weights need not be whole."""
+    rows = spark.range(12000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3000).alias("source"))
+    names = [r["source"] for r in mixing.in_mix_order(mixing.mix(rows, block_rows=1)).collect()]
+    assert len(names) == 12000
+    for n in range(3000, 12000, 3000):  # equal weights: every source has its share at any time, up to its levels
+        assert all(abs(names[:n].count(f"s{i}") - n / 3000) < 3 for i in range(0, 3000, 97))
+    assert len(set(names[:3000])) > 2700
+    pair = rows.withColumn("source", F.when(F.col("doc_id") < 6000, "big").when(F.col("doc_id") < 8000, "p").otherwise("q"))
+    weights = spark.createDataFrame([("big", 100000), ("p", 10), ("q", 40)], "source string, weight bigint")
+    pool = [r["source"] for r in mixing.in_mix_order(mixing.mix(pair, weights=weights, block_rows=1)).collect()]
+    pool = [x for x in pool if x != "big"]
+    for n in range(1, 4000):
+        assert abs(pool[:n].count("p") - 0.2 * n) < 1
+    part = spark.createDataFrame([("big", 0.25), ("p", 0.25), ("q", 0.5)], "source string, weight double")
+    order = [r["source"] for r in mixing.in_mix_order(mixing.mix(pair, weights=part, block_rows=1)).collect()]
+    for n in range(1, 4000):
+        assert abs(order[:n].count("q") - 0.5 * n) < 1 and abs(order[:n].count("p") - 0.25 * n) < 1
+
+
 def test_fingerprints(edge, empty):
     docs = edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = fingerprints.compare_with_edits(docs).orderBy("doc_id").toPandas()
