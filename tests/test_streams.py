@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens.operators import authors
+from threadlens.plans.registry import load
 from threadlens.session import fresh_path
 from threadlens.streaming import streams as st
 
@@ -63,3 +64,25 @@ def test_counters_and_windows_over_batches(spark, folder):
     want = events.groupBy(F.date_trunc("minute", "timestamp").alias("m")).agg(F.sum(F.length("text")).alias("t"))
     assert windows.count() == want.count()
     assert windows.filter("over_budget").count() == want.filter("t > 6").count()
+
+
+def test_files_out_of_order_give_the_batch_result(spark):
+    path, start = fresh_path(spark, "disorder"), datetime.datetime(2024, 1, 1)
+    schema = "id long, community string, timestamp timestamp, tokens long"
+    for lo in (40, 0, 20):
+        rows = [(i, "c", start + datetime.timedelta(minutes=i), i) for i in range(lo, lo + 20)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = st.replay(spark, path, spark.createDataFrame([], schema).schema)
+    quota = st.stream_group_quota(stream.select("id", "community"), "community", "id", 5, salts=2)
+    kept = st.finish_group_quota(st.run_append(quota, "disorder-quota"), "community", "id", 5)
+    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 2, 3, 4]
+    budget = st.stream_minute_budget(stream.select("timestamp", "tokens"), "timestamp", "tokens", 30)
+    windows = st.latest_windows(st.run_batches(budget, "disorder-budget", "update")).collect()
+    assert len(windows) == 60 and sum(r["tokens"] for r in windows) == sum(range(60))
+
+
+def test_queries_read_a_folder_of_part_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    run = load()["stream_scan_counters"].run
+    assert sum(r["processed"] for r in run(spark, str(tmp_path)).collect()) == events.count()

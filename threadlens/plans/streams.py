@@ -11,7 +11,7 @@ from threadlens.streaming import streams as st
 
 def _stream(spark, d):
     schema = tables.table(spark, d, "events").schema
-    events = st.replay(spark, d, schema, "events*.parquet")
+    events = st.replay(spark, f"{d}/events*.parquet", schema)
     return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("author"),
         F.col("ts").alias("timestamp"), F.col("event_type").alias("text"),

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from threadlens.functions import lexicons as lx
 from threadlens.functions.scalars import hours_between
@@ -24,7 +24,7 @@ from threadlens.session import fresh_path
 
 def replay(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet",
            per_trigger: int = 1) -> DataFrame:
-    """A stream over the parquet files of a folder."""
+    """A stream over the parquet files of a folder; ``folder`` may be a pattern of files and of folders of part files."""
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", files)
         .option("maxFilesPerTrigger", per_trigger).parquet(folder)
@@ -73,30 +73,36 @@ def stream_clean_filter(stream: DataFrame, text: str, markers: list[str] = lx.IN
 def stream_group_quota(
     stream: DataFrame, group: str, ordinal: str, quota: int, salts: int = 32
 ) -> DataFrame:
-    """Candidates for the first ``quota`` rows of each group, at most ``quota`` per group and salt.
+    """Candidates for the first ``quota`` rows of each group, in whatever order they arrive.
 
-    State is one counter per (group, salt), so a large group spreads over ``salts`` keys. A key
-    keeps at most ``quota`` rows of a micro-batch in memory and stays silent once it is full. The
-    exact first rows follow from the written candidates with ``finish_group_quota``.
+    State is the least ``quota`` ordinals so far per (group, salt), so a large group spreads over
+    ``salts`` keys. A key keeps at most ``quota`` rows of a micro-batch in memory and, once it is full, only
+    emits rows that come before its largest ordinal. The exact first rows follow from the written
+    candidates with ``finish_group_quota``.
     """
     salted = stream.withColumn("__salt", F.pmod(F.xxhash64(ordinal), F.lit(salts)).cast("int"))
 
     columns = stream.columns
 
     def take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = state.get[0] if state.exists else 0
+        least = list(state.get[0]) if state.exists else []
         best = None
-        if have < quota:
-            for pdf in batches:
-                best = pdf if best is None else pd.concat([best, pdf])
-                best = best.nsmallest(quota - have, ordinal)
-        taken = 0 if best is None else len(best)
-        state.update((have + taken,))
+        for pdf in batches:
+            if len(least) == quota:
+                pdf = pdf[pdf[ordinal] < least[-1]]
+            best = pdf if best is None else pd.concat([best, pdf])
+            best = best.nsmallest(quota, ordinal)
+        new = [] if best is None else best[ordinal].tolist()
+        # Earlier rows go first among equals; the new ones that stay are the first of ``best``.
+        merged = sorted([(x, 0) for x in least] + [(x, 1) for x in new])[:quota]
+        state.update(([x for x, _ in merged],))
+        taken = sum(fresh for _, fresh in merged)
         if taken:
-            yield best[columns]
+            yield best[columns].head(taken)
 
+    kept = StructType([StructField("least", ArrayType(stream.schema[ordinal].dataType))])
     return salted.groupBy(group, "__salt").applyInPandasWithState(
-        take, stream.schema, "taken long", "append", GroupStateTimeout.NoTimeout
+        take, stream.schema, kept, "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -106,12 +112,18 @@ def finish_group_quota(candidates: DataFrame, group: str, ordinal: str, quota: i
 
 def stream_minute_budget(
     stream: DataFrame, ts: str, tokens: str, budget: int = lx.TOKENS_PER_MINUTE,
-    lateness: str = "10 minutes",
+    lateness: str | None = None,
 ) -> DataFrame:
-    """Tokens per minute and whether they exceed the budget; the watermark bounds the state."""
+    """Tokens per minute and whether they exceed the budget.
+
+    The state is one row a minute, and rows of any age count. ``lateness`` bounds it by a watermark; rows
+    that are further behind are then dropped.
+    """
     kind = dict(stream.dtypes)[ts]
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    windows = timed.withWatermark(ts, lateness).groupBy(F.window(ts, "1 minute")).agg(
+    if lateness is not None:
+        timed = timed.withWatermark(ts, lateness)
+    windows = timed.groupBy(F.window(ts, "1 minute")).agg(
         F.count("*").alias("requests"), F.sum(tokens).alias("tokens")
     )
     return windows.select(
