@@ -1,5 +1,7 @@
 """Every registered query with a SQL twin must agree with it; the others must return rows."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -32,3 +34,12 @@ def test_runs(spark, key):
 def test_entry_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_optional_parts(monkeypatch):
+    whole = set(entry.queries())
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("threadlens.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "threadlens.llm", None)
+    assert set(entry.queries()) == set(load()) < whole
+    assert set(entry.oracle_sql()) <= set(load())
