@@ -86,8 +86,8 @@ def test_edges(aligner, brute):
 
 
 def test_random_texts(aligner, brute, monkeypatch):
-    monkeypatch.setattr(token_alignment, "ALIGN_POINTS", 2000)
-    monkeypatch.setattr(token_alignment, "CUT_POINTS", 9000)
+    monkeypatch.setattr(token_alignment, "ALIGN_BYTES", 2000)
+    monkeypatch.setattr(token_alignment, "CUT_BYTES", 9000)
     monkeypatch.setattr(token_alignment, "PIECES", 100)
     monkeypatch.setattr(token_alignment, "MANY_LINKS", 3)
     rng = random.Random(1)

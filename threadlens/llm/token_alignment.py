@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -38,22 +39,29 @@ from threadlens.llm.token_counts import byte_alphabet
 from threadlens.session import materialize
 
 #: Pairs in the broadcast table, links of a group above which its ids are counted first, pieces encoded in one call, and
-#: code points of texts that are cut into pieces together and aligned together.
+#: bytes of texts that are cut into pieces together and aligned together.
 HOT_PAIRS = 1 << 18
 MANY_LINKS = 10_000
-PIECES = 50_000
-CUT_POINTS = 10_000_000
-ALIGN_POINTS = 2_000_000
+PIECES = 10_000
+CUT_BYTES = 15_000_000
+ALIGN_BYTES = 1_000_000
 SPACE_MARK = "▁"
 
 FOUND = T.StructType([
     T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()),
     T.StructField("n_groups", T.LongType()), T.StructField("n_links", T.LongType()),
     T.StructField("groups_sha256", T.StringType()),
-    T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
+    T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
 ])
 
 
+#: A space at the start of a text or after white space of any kind.
+ODD_SPACE = r"(?:^|[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]) "
+NONE_FOUND = pa.array([], pa.struct([
+    ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
+    ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]))
+
+
 class Coded:
     """Token ids of many strings, one after the other, with the start and number of each string's."""
 
@@ -143,6 +151,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # One thread: a task has one core, and each thread would hold memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(byte_level)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
@@ -161,7 +171,7 @@ class Aligner:
         self.blank = [self.b.piece_to_id(SPACE_MARK)]
         self.a_size, self.a_space = self._measure(self.a_bytes)
         self.b_size, self.b_space = self._measure(self.b_bytes)
-        self.odd, self.cut = re.compile(r"(?:^|\s) "), re.compile(r"(?<=\S) ")
+        self.cut = re.compile(r"(?<=\S) ")
 
     @staticmethod
     def _measure(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,27 +210,30 @@ class Aligner:
         last = np.searchsorted(a_at, np.cumsum(windows.n_a)) + 1
         return tuples(a, np.append(0, a_at), b, np.append(0, b_at)), np.diff(last, prepend=0)
 
-    def _cut(self, texts: list[str]) -> list[pa.StructArray]:
+    def _cut(self, texts: pa.Array, odd: bool) -> list[pa.StructArray]:
         """Cut texts into pieces, encode the different ones, and align slice by slice."""
-        lists = [[] if not t else self.cut.split(t) if self.odd.search(t) else t.split(" ") for t in texts]
-        ends = np.cumsum([0, *map(len, lists)])
-        pieces = pa.array(list(chain.from_iterable(lists)), pa.large_string()).dictionary_encode()
-        del lists
+        if odd:
+            lists = pa.array([self.cut.split(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        ends -= ends[0]
+        pieces = lists.flatten().dictionary_encode()
         a_ids, b_ids, good = self._code(pieces.dictionary)
         code, size = np.asarray(pieces.indices).astype(np.int64), 1 + np.asarray(pc.binary_length(pieces.dictionary))
         return [
-            self._slice(texts[lo:hi], code[ends[lo]:ends[hi]], np.diff(ends[lo:hi + 1]), size, a_ids, b_ids, good)
-            for lo, hi in _stretches(texts, ALIGN_POINTS)]
+            self._slice(texts.slice(lo, hi - lo), code[ends[lo]:ends[hi]], np.diff(ends[lo:hi + 1]), size, a_ids, b_ids, good)
+            for lo, hi in _stretches(texts, ALIGN_BYTES)]
 
     def _slice(
-        self, texts: list[str], code: np.ndarray, per_text: np.ndarray, size: np.ndarray, a_ids: Coded, b_ids: Coded, good: np.ndarray,
+        self, texts: pa.Array, code: np.ndarray, per_text: np.ndarray, size: np.ndarray, a_ids: Coded, b_ids: Coded, good: np.ndarray,
     ) -> pa.StructArray:
         text_of = np.repeat(np.arange(len(texts)), per_text)
         text_bytes = np.bincount(text_of, size[code], minlength=len(texts)).astype(np.int64)
-        right = per_text > 0
+        right = np.asarray(pc.binary_length(texts)) > 0
         for i in np.unique(text_of[~good[code]]).tolist():
-            mine, whole = code[text_of == i], (" " + texts[i]).encode()
-            right[i] = all(
+            mine, whole = code[text_of == i], (" " + texts[i].as_py()).encode()
+            right[i] &= all(
                 b"".join(names[x] for x in ids.take(mine)[0].tolist()) == whole
                 for ids, names in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)))
         code, text_of = code[right[text_of]], text_of[right[text_of]]
@@ -230,9 +243,8 @@ class Aligner:
         n_a = np.bincount(text_of, a_in, minlength=n).astype(np.int64)
         n_b = np.bincount(text_of, b_in, minlength=n).astype(np.int64)
         if not len(a):
-            none = pa.array([[]] * n, pa.list_(pa.int64()))
-            zero = pa.array(np.zeros(n, np.int64))
-            return self._struct(n_a, n_b, zero, zero, [""] * n, none, none)
+            none, zero = [[]] * n, np.zeros(n, np.int64)
+            return self._struct(n_a, n_b, zero, zero, [""] * n, pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int32())))
         names, begin = self.windows(a, b)
         window = Stretches(names)
         names, per_window = self.groups(window)
@@ -255,7 +267,7 @@ class Aligner:
         kinds, kind = np.unique(pairs, return_inverse=True)
         held = np.repeat(doc, size[code]) * len(kinds) + kind[spread]
         held, back = np.unique(held, return_inverse=True)
-        times = np.bincount(back, times[spread] * np.repeat(often, size[code])).astype(np.int64)
+        times = np.bincount(back, times[spread] * np.repeat(often, size[code])).astype(np.int32)
         offsets = pa.array(np.searchsorted(held // len(kinds), np.arange(n + 1)), pa.int32())
         pairs = pa.ListArray.from_arrays(offsets, pa.array(kinds[held % len(kinds)]))
         return self._struct(n_a, n_b, groups, links, digests, pairs, pa.ListArray.from_arrays(offsets, pa.array(times)))
@@ -265,22 +277,31 @@ class Aligner:
         return pa.StructArray.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], FOUND.names)
 
     def align_texts(self, texts: pa.Array) -> pa.Array:
-        """One row of ``FOUND`` per text."""
-        texts = pc.fill_null(texts, "").to_pylist()
-        none = pa.array([], pa.struct([(f.name, pa.list_(pa.int64()) if f.name in ("pairs", "times") else pa.string()
-                                        if f.name == "groups_sha256" else pa.int64()) for f in FOUND]))
-        return pa.concat_arrays([none, *chain.from_iterable(self._cut(texts[lo:hi]) for lo, hi in _stretches(texts, CUT_POINTS))])
-
-
-def _stretches(texts: list[str], points: int) -> list[tuple[int, int]]:
-    """Consecutive texts of about that many code points together, at least one text each."""
-    out, lo, size = [], 0, 0
-    for i, text in enumerate(texts):
-        if i > lo and size + len(text) > points:
-            out.append((lo, i))
-            lo, size = i, 0
-        size += len(text)
-    return [*out, (lo, len(texts))] if texts else []
+        """One row of ``FOUND`` per text.
+
+        Texts with a space at the start or after white space are cut by a regular expression, all others at every space.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
+        rows, order = [NONE_FOUND], []
+        for kind in (False, True):
+            mine = np.flatnonzero(odd == kind)
+            some = texts.take(pa.array(mine))
+            rows += chain.from_iterable(self._cut(some.slice(lo, hi - lo), kind) for lo, hi in _stretches(some, CUT_BYTES))
+            order.append(mine)
+        rows = pa.concat_arrays(rows)
+        return rows.take(pa.array(np.argsort(np.concatenate(order)))) if odd.any() else rows
+
+
+def _stretches(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Consecutive texts of about that many bytes together, at least one text each."""
+    total = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))])
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + size, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
 
 
 @lru_cache(maxsize=2)
