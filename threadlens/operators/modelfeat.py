@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.functions import lexicons as lx
 from threadlens.functions import text
 from threadlens.operators.ranking import small_side
+from threadlens.session import materialize
 
 TOKEN_PATTERN = r"[^\p{L}\p{N}']+"
 
@@ -101,34 +105,58 @@ def sentiment_scores(
     )
 
 
-def corpus_perplexity(
-    df: DataFrame, col: str, id_col: str = "id", split: str = "split", k: float = 0.1,
-    max_tokens: int | None = None,
-) -> DataFrame:
-    """Perplexity under an add-k bigram model fit on the training split; null below two tokens.
+@dataclass
+class BigramModel:
+    """Counts of word pairs (``a, b, n_ab``), the number of different words, and the count added to every pair."""
 
-    Pairs are exploded again for scoring instead of being stored, as splitting a text is cheaper than
-    keeping its pairs. The model counts combine map-side; scoring is a pair of equi-joins that skew
-    handling can split where a pair or a first word is frequent.
-    """
+    pairs: DataFrame
+    vocabulary: int
+    k: float = 0.1
+
+
+def _lower_words(df: DataFrame, col: str, max_tokens: int | None, *keep: str) -> DataFrame:
     toks = text.words(F.lower(F.col(col)))
-    toks = F.slice(toks, 1, max_tokens) if max_tokens else toks
-    base = df.select(id_col, split, toks.alias("__w"))
+    return df.select(*keep, (F.slice(toks, 1, max_tokens) if max_tokens else toks).alias("__w"))
+
+
+def _word_pairs(words: DataFrame, *keep: str) -> DataFrame:
     n_pairs = F.greatest(F.size("__w") - 1, F.lit(0))
     first, second = F.slice("__w", F.lit(1), n_pairs), F.slice("__w", F.lit(2), n_pairs)
     both = F.arrays_zip(first.alias("a"), second.alias("b"))
-    pairs = base.select(id_col, split, F.explode(both).alias("p")).select(id_col, split, "p.a", "p.b")
-    bigrams = pairs.filter(F.col(split) == "train").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
-    firsts = bigrams.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
-    vocabulary = base.filter(F.col(split) == "train").select(F.explode("__w").alias("w")).agg(
-        F.countDistinct("w").alias("v")
-    ).scalar()
-    scored = pairs.join(bigrams, ["a", "b"], "left").join(firsts, "a", "left")
-    p = (F.coalesce("n_ab", F.lit(0)) + k) / (F.coalesce("n_a", F.lit(0)) + k * vocabulary)
-    loss = scored.groupBy(id_col).agg(
-        F.exp(-F.avg(F.log(p))).alias("perplexity")
-    )
-    return df.select(id_col, split).join(loss, id_col, "left")
+    return words.select(*keep, F.explode(both).alias("p")).select(*keep, "p.a", "p.b")
+
+
+def fit_bigrams(df: DataFrame, col: str, k: float = 0.1, max_tokens: int | None = None) -> BigramModel:
+    """Word-pair counts of all texts of ``df``; they combine map-side."""
+    words = _lower_words(df, col, max_tokens)
+    pairs = materialize(_word_pairs(words).groupBy("a", "b").agg(F.count("*").alias("n_ab")), "bigrams")
+    size = words.select(F.explode("__w").alias("w")).agg(F.countDistinct("w")).first()[0]
+    return BigramModel(pairs, size, k)
+
+
+def score_bigrams(
+    df: DataFrame, col: str, model: BigramModel, id_col: str = "id", max_tokens: int | None = None
+) -> DataFrame:
+    """``id`` and ``perplexity`` of every text of two words or more under kept counts.
+
+    Different pairs are scored first, by one join with the pair counts and one with the counts of first words. Occurrences of pairs
+    then join their score once, and the sums per text combine map-side.
+    """
+    pairs = _word_pairs(_lower_words(df, col, max_tokens, id_col), id_col)
+    firsts = model.pairs.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
+    scores = pairs.select("a", "b").distinct().join(model.pairs, ["a", "b"], "left").join(firsts, "a", "left")
+    p = (F.coalesce("n_ab", F.lit(0)) + model.k) / (F.coalesce("n_a", F.lit(0)) + model.k * max(model.vocabulary, 1))
+    scored = pairs.join(scores.select("a", "b", F.log(p).alias("log_p")), ["a", "b"])
+    return scored.groupBy(id_col).agg(F.exp(-F.avg("log_p")).alias("perplexity"))
+
+
+def corpus_perplexity(
+    df: DataFrame, col: str, id_col: str = "id", split: str = "split", k: float = 0.1,
+    max_tokens: int | None = None,
+) -> DataFrame:
+    """Perplexity under an add-k bigram model fit on the training split; null below two tokens."""
+    model = fit_bigrams(df.filter(F.col(split) == "train"), col, k, max_tokens)
+    return df.select(id_col, split).join(score_bigrams(df, col, model, id_col, max_tokens), id_col, "left")
 
 
 def token_limit_truncate(c: Column, n: int = lx.MAX_TOKENS_PER_TEXT) -> Column:
@@ -175,7 +203,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def _slots(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(1 << _SLOT_BITS)).cast("int"))
+    """Hash slot per token: the first four hex digits of its md5."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
 
 
 def slot_weights(df: DataFrame, col: str) -> np.ndarray:
@@ -200,38 +229,37 @@ def embed_texts(
 ) -> DataFrame:
     """Add a unit-norm ``embedding``.
 
-    The default is TF-IDF over hashed tokens, projected to ``dim`` dimensions by a sparse random
-    sign matrix (one non-zero per hash slot). ``encoder`` is a factory called once per task for a
-    model that turns a list of texts into a matrix.
+    The default is TF-IDF over hashed tokens, projected to ``dim`` dimensions by a sparse sign matrix with one non-zero per
+    hash slot, both places and signs from multiplicative hashes of the slot. ``encoder`` is a factory called once per
+    task for a model that turns a list of texts into a matrix. Only the text or its slots cross into Python.
     """
     source = F.coalesce(F.col(col), F.lit(""))
     source = F.substring(source, 1, max_chars) if max_chars else source
-    schema = f"{df.schema.simpleString()[7:-1]},embedding:array<float>"
-    names = df.columns
+    vectors = T.ArrayType(T.FloatType())
     if encoder is not None:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf(vectors)
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = encoder()
-            for pdf in batches:
-                vec = np.asarray(model(pdf["__src"].tolist()), dtype="float64")
-                yield pdf[names].assign(embedding=_unit_rows(vec))
-        return df.withColumn("__src", source).mapInPandas(run, schema)
+            for texts in batches:
+                yield pd.Series(_unit_rows(np.asarray(model(texts.tolist()), dtype="float64")))
+        return df.withColumn("embedding", encode(source))
     idf = slot_weights(df, col) if weights is None else weights
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(42)
-        target = rng.integers(0, dim, len(idf))
-        sign = rng.choice([-1.0, 1.0], len(idf))
-        for pdf in batches:
-            sizes = pdf["__src"].map(len).to_numpy()
-            slots = np.concatenate(pdf["__src"].to_list()) if sizes.sum() else np.zeros(0, int)
-            cell = np.repeat(np.arange(len(pdf)), sizes) * len(idf) + slots.astype("int64")
-            cell, tf = np.unique(cell, return_counts=True)
-            row, slot = cell // len(idf), cell % len(idf)
-            value = (1 + np.log(tf)) * idf[slot] * sign[slot]
-            flat = np.bincount(row * dim + target[slot], value, minlength=len(pdf) * dim)
-            yield pdf[names].assign(embedding=_unit_rows(flat.reshape(len(pdf), dim)))
-
-    return df.withColumn("__src", _slots(text.words(F.lower(source)))).mapInPandas(project, schema)
+    number = np.arange(len(idf))
+    target, sign = number * 40503 % len(idf) * dim // len(idf), np.where(number * 30011 % 65537 % 2 == 0, 1.0, -1.0)
+
+    @F.arrow_udf(vectors)
+    def project(lists: pa.Array) -> pa.Array:
+        size = np.asarray(lists.value_lengths()).astype("int64")
+        cell = np.repeat(np.arange(len(lists)), size) * len(idf) + np.asarray(lists.flatten()).astype("int64")
+        cell, tf = np.unique(cell, return_counts=True)
+        row, slot = cell // len(idf), cell % len(idf)
+        value = (1 + np.log(tf)) * idf[slot] * sign[slot]
+        flat = np.bincount(row * dim + target[slot], value, minlength=len(lists) * dim).reshape(len(lists), dim)
+        norm = np.linalg.norm(flat, axis=1, keepdims=True)
+        flat = (flat / np.where(norm == 0, 1.0, norm)).astype("float32").ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(flat))
+
+    return df.withColumn("embedding", project(_slots(text.words(F.lower(source)))))
 
 
 def _unit_rows(m: np.ndarray) -> list[np.ndarray]:

@@ -136,15 +136,46 @@ def _(spark, d):
     )
 
 
-@query("embed_texts")
+def _embed_sql(source: str, words: str) -> str:
+    """CTEs from ``source`` (key, ``words`` list) to ``unit`` (key, pos, x): weights of all rows, places and signs of slots."""
+    return f"""
+tok AS (SELECT key, ('0x' || md5(w)[1:4])::INTEGER AS slot FROM (SELECT key, unnest({words}) AS w FROM {source})),
+tf AS (SELECT key, slot, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT slot, ln(((SELECT count(*) FROM {source}) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY slot),
+val AS (SELECT key, slot::BIGINT * 40503 % 65536 * {lx.EMBEDDING_DIM} // 65536 AS pos,
+  sum((1 + ln(tf)) * idf * CASE WHEN slot::BIGINT * 30011 % 65537 % 2 = 0 THEN 1 ELSE -1 END) AS x FROM tf JOIN idf USING (slot) GROUP BY 1, 2),
+len AS (SELECT key, sqrt(sum(x * x)) AS len FROM val GROUP BY key),
+unit AS (SELECT key, pos, (x / CASE WHEN len = 0 THEN 1 ELSE len END)::FLOAT::DOUBLE AS x FROM val JOIN len USING (key))"""
+
+
+def _millionths(c: str):
+    return F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), " ").alias(c)
+
+
+@query("embed_texts", f"""
+WITH {q.BASE}, src AS (SELECT id AS key, list_transform(ws, lambda x: lower(x)) AS w FROM base),
+{_embed_sql('src', 'w')},
+full_rows AS (SELECT s.key, p.p AS pos, coalesce(u.x, 0) AS x FROM src s CROSS JOIN (SELECT unnest(range(384)) AS p) p
+  LEFT JOIN unit u ON u.key = s.key AND u.pos = p.p)
+SELECT key AS id, string_agg(round(x * 1e6)::BIGINT::VARCHAR, ' ' ORDER BY pos) AS embedding FROM full_rows GROUP BY key""")
 def _(spark, d):
-    return mf.embed_texts(prepared(spark, d).select("id", "text_clean"), "text_clean").drop("text_clean")
+    embedded = mf.embed_texts(prepared(spark, d).select("id", "text_clean"), "text_clean")
+    return embedded.select("id", _millionths("embedding"))
 
 
-@query("embed_long_text")
+@query("embed_long_text", f"""
+WITH {q.BASE}, w AS (SELECT id, {q.words("replace(text_clean, chr(10), ' ')")} AS ws FROM base),
+s AS (SELECT *, CASE WHEN len(ws) > 1000 THEN 250 ELSE greatest(len(ws), 1) END AS step FROM w),
+c AS (SELECT id, ws, step, unnest(range(0, greatest(len(ws), 1), step)) AS a FROM s),
+src AS (SELECT {{'id': id, 'a': a}} AS key, list_transform(ws[a + 1:a + step], lambda x: lower(x)) AS w FROM c),
+{_embed_sql('src', 'w')},
+n AS (SELECT key.id AS id, count(*) AS n FROM src GROUP BY 1),
+mean AS (SELECT key.id AS id, pos, sum(x) AS x FROM unit GROUP BY 1, 2)
+SELECT n.id, string_agg(round(coalesce(x, 0) / n * 1e6)::BIGINT::VARCHAR, ' ' ORDER BY p) AS embedding
+FROM n CROSS JOIN (SELECT unnest(range(384)) AS p) LEFT JOIN mean m ON m.id = n.id AND m.pos = p GROUP BY n.id""")
 def _(spark, d):
     docs = prepared(spark, d).select("id", "text_clean")
-    return mf.embed_long_text(docs, "text_clean", limit=1000, size=250)
+    return mf.embed_long_text(docs, "text_clean", limit=1000, size=250).select("id", _millionths("embedding"))
 
 
 @query("text_chunks", f"""
