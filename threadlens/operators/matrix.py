@@ -64,6 +64,8 @@ def build_feature_matrix(
     df = df.join(modelfeat.pos_distribution(texts, "text_clean"), "id").join(
         modelfeat.sentiment_scores(texts, "text_clean"), "id"
     ).join(perplexity.drop("split"), "id")
+    if "encoder" not in embedding and "weights" not in embedding:
+        embedding["weights"] = modelfeat.slot_weights(texts.filter(F.col("split") == "train"), "text_clean")
     embedded = materialize(modelfeat.embed_texts(texts, "text_clean", **embedding), "embedded")
     model = None
     if topic_count:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.operators import classify, matrix, modelfeat, sampling, topics
+from threadlens.operators import classify, matrix, modelfeat, sampling, scoring, topics
 from threadlens.operators.textfeat import add_features
 from threadlens.operators.vectors import group_centroid
 from threadlens.plans import sqltext as q
@@ -13,13 +13,14 @@ from threadlens.plans.models import _tokens
 from threadlens.plans.registry import query
 from threadlens.plans.textual import prepared
 from threadlens.plans.threads import _rounded
-from threadlens.session import materialize
+from threadlens.session import fresh_path, materialize
 from threadlens.sources import tables
 
 
 def _embedded(spark, d):
     docs = sampling.stratified_split(prepared(spark, d), "lang")
-    return materialize(modelfeat.embed_texts(docs, "text_clean"), "embedded")
+    weights = modelfeat.slot_weights(docs.filter(F.col("split") == "train"), "text_clean")
+    return materialize(modelfeat.embed_texts(docs, "text_clean", weights=weights), "embedded")
 
 
 @query("fit_topics")
@@ -100,14 +101,37 @@ def _(spark, d):
     )
 
 
+def _scorer(spark, d):
+    """A scorer fit on the labelled training documents; the source stands for the author."""
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("author"))
+    lab = tables.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    labelled = sampling.stratified_split(materialize(docs.join(lab, "id"), "labelled-texts"), "label")
+    return docs, scoring.fit_text_scorer(labelled.filter(F.col("split") == "train"))
+
+
 @query("score_batch")
 def _(spark, d):
-    """Every document scored by a forest that is fit on the labelled ones."""
-    forest = classify.fit_forest(_labelled_features(spark, d))
-    docs = add_features(prepared(spark, d), "text_clean")
-    return classify.score_batch(docs, forest, "text_clean").select(
-        "id", "prediction", "probability_agent", "probability_human", "band"
-    )
+    """Every raw document scored by artefacts that are fit on the labelled training ones."""
+    docs, scorer = _scorer(spark, d)
+    return scorer.transform(docs).select("id", "prediction", "probability_agent", "probability_human", "band")
+
+
+@query("score_batch_saved", f"""
+SELECT doc_id AS id, true AS same_when_loaded, true AS sums_to_one, true AS likelier_class, true AS band_fits
+FROM documents WHERE length({q.clean('text')}) > 0""")
+def _(spark, d):
+    """What must hold for every scored document, and that artefacts saved and loaded in a new session score it the same."""
+    docs, scorer = _scorer(spark, d)
+    path = fresh_path(spark, "scorer")
+    scorer.save(path)
+    loaded = scoring.load_text_scorer(spark.newSession(), path)
+    now = scorer.transform(docs).select("id", F.struct("prediction", "probability_agent", "probability_human", "band").alias("now"))
+    kept = loaded.transform(docs).select("id", F.struct("prediction", "probability_agent", "probability_human", "band").alias("kept"))
+    agent, human, band = F.col("now.probability_agent"), F.col("now.probability_human"), F.col("now.band")
+    fits = F.when(agent < 0.35, band == "0-35").when(agent < 0.65, band == "35-65").otherwise(band == "65-100")
+    return now.join(kept, "id").select(
+        "id", F.col("now").eqNullSafe(F.col("kept")).alias("same_when_loaded"), (F.abs(agent + human - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("now.prediction") == (human > agent).cast("double")).alias("likelier_class"), fits.alias("band_fits"))
 
 
 @query("fit_text_classifier")
