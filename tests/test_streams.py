@@ -1,6 +1,7 @@
 """Streams over several micro-batches must give the batch result."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def test_gaps_over_batches(spark, folder):
     assert (got["gap_hours"].sort_index().fillna(-1) - want["gap_hours"].sort_index().fillna(-1)).abs().max() < 1e-9
 
 
-def test_late_rows_are_kept_and_flagged(spark):
+def test_late_rows_correct_their_successor(spark):
     path, schema = fresh_path(spark, "late"), "author long, timestamp timestamp, id long"
     day = datetime.datetime(2024, 1, 1)
     for rows in ([(1, day, 1), (1, day + datetime.timedelta(hours=5), 2)],
@@ -39,7 +40,22 @@ def test_late_rows_are_kept_and_flagged(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     stream = st.replay(spark, path, spark.createDataFrame([], schema).schema)
     got = {r["id"]: (r["late"], r["gap_hours"]) for r in st.stream_inter_post_gap(stream).collect()}
-    assert got == {1: (False, None), 2: (False, 5.0), 3: (True, None), 4: (False, 1.0)}
+    assert got == {1: (False, None), 2: (False, 3.0), 3: (True, 2.0), 4: (False, 1.0)}
+
+
+def test_gaps_of_shuffled_files_equal_the_batch(spark):
+    path, schema, rng = fresh_path(spark, "shuffled"), "author long, timestamp timestamp, id long", random.Random(2)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice((1, 2, 3, None)), day + datetime.timedelta(hours=rng.randrange(300)), i) for i in range(150)]
+    rows += [(1, None, 900), (1, None, 901), (None, None, 902), rows[3], rows[3]]
+    rng.shuffle(rows)
+    for at in range(0, len(rows), 31):
+        spark.createDataFrame(rows[at:at + 31], schema).coalesce(1).write.mode("append").parquet(path)
+    whole = spark.createDataFrame(rows, schema)
+    got = st.stream_inter_post_gap(st.replay(spark, path, whole.schema))
+    want = authors.inter_post_gap(whole)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.filter("late").count() > 30
 
 
 def test_quota_over_batches(spark, folder):

@@ -7,15 +7,15 @@ the checkpoint gives the same table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DateType, StructField, StructType
 
 from threadlens.functions import lexicons as lx
-from threadlens.functions.scalars import hours_between
 from threadlens.operators.authors import inter_post_gap
 from threadlens.operators.project import filter_clean_posts, is_clean
 from threadlens.operators.ranking import top_n_per_group
@@ -148,37 +148,62 @@ def stream_scan_counters(
 
 
 def stream_inter_post_gap(stream: DataFrame, name: str = "gaps") -> DataFrame:
-    """Hours since the author's previous post, over micro-batches of (author, timestamp, id).
+    """Hours since the author's previous post, over micro-batches of (author, timestamp, id), in any order of arrival.
 
-    Inside a batch the gaps come from the batch operator, which splits a busy author by day. Across
-    batches a table with the last timestamp per author carries over; it is rewritten per batch under
-    the batch's number, so a replayed batch reads the same predecessor. A row that is older than its
-    author's carried timestamp is late: it is kept, flagged, and has no gap.
+    The result equals the batch operator over all rows. Cells of (author, day) are what is worked out anew: those that a
+    micro-batch adds to, and the author's next cell after each, whose first row gets another predecessor by a late row. A cell starts
+    from the last row of the author's cell before it, known from a table with one row per cell. Rows seen so far are kept by day, so
+    only the days of such cells are read again; in a stream without disorder these are the newest ones.
+
+    A row that is older than its author's newest one in earlier micro-batches is flagged ``late``. Every micro-batch
+    writes under its own number and reads what smaller numbers have written, so a replay gives the same. A cell's rows are
+    taken from the newest micro-batch that worked it out. Null authors are one author; null times come before all others.
     """
     spark = stream.sparkSession
-    path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    path, seen, state = fresh_path(spark, name), fresh_path(spark, f"{name}-seen"), fresh_path(spark, f"{name}-state")
     rows = stream.select("author", "timestamp", "id")
-    last_schema = rows.select("author", F.col("timestamp").alias("last")).schema
+    kind = rows.schema
+    seen_schema = StructType([*kind.fields, StructField("late", BooleanType()), StructField("day", DateType())])
+    cells_schema = StructType([
+        StructField("cell", StructType([kind["author"], StructField("day", DateType())])),
+        StructField("last", StructType([kind["timestamp"], kind["id"]]))])
+    cell = F.struct("author", "day").alias("cell")
+
+    def earlier(folder: str, number: int, schema: StructType, newest: bool) -> DataFrame:
+        if not number:
+            return spark.createDataFrame([], schema)
+        paths = [f"{folder}/{k}" for k in ([number - 1] if newest else range(number))]
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(p) for p in paths])
 
     def write(batch: DataFrame, number: int) -> None:
-        carried = (
-            spark.read.schema(last_schema).parquet(f"{state}/{number - 1}") if number
-            else spark.createDataFrame([], last_schema)
-        )
-        marked = batch.join(carried, "author", "left").withColumn(
-            "late", F.coalesce(F.col("timestamp") < F.col("last"), F.lit(False))
-        )
-        timely = inter_post_gap(marked.filter(~F.col("late")))
-        gap = F.coalesce("gap_hours", hours_between(F.col("timestamp"), F.col("last")))
-        out = timely.withColumn("gap_hours", gap).unionByName(
-            marked.filter("late").withColumn("gap_hours", F.lit(None).cast("double"))
-        )
-        out.drop("last").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        newest = batch.groupBy("author").agg(F.max("timestamp").alias("last")).unionByName(carried)
-        newest.groupBy("author").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
-            f"{state}/{number}"
-        )
+        before = earlier(state, number, cells_schema, newest=True)
+        newest = before.groupBy(F.col("cell.author").alias("__author")).agg(F.max("last.timestamp").alias("__newest"))
+        marked = batch.join(newest, F.col("author").eqNullSafe(F.col("__author")), "left").select(
+            *batch.columns, F.coalesce(F.col("timestamp") < F.col("__newest"), F.lit(False)).alias("late"),
+            F.to_date("timestamp").alias("day"))
+        marked.write.mode("overwrite").partitionBy("day").parquet(f"{seen}/{number}")
+        new = spark.read.schema(seen_schema).parquet(f"{seen}/{number}")
+        added = new.groupBy(cell).agg(F.max(F.struct("timestamp", "id")).alias("last"))
+        after = before.unionByName(added).groupBy("cell").agg(F.max("last").alias("last"))
+        after.write.mode("overwrite").parquet(f"{state}/{number}")
+        order = Window.partitionBy("cell.author").orderBy(F.col("cell.day").asc_nulls_first())
+        cells = spark.read.schema(cells_schema).parquet(f"{state}/{number}").join(
+            added.select("cell", F.lit(True).alias("added")), "cell", "left")
+        cells = cells.withColumn("again", F.coalesce("added", F.lag("added").over(order)))
+        cells = cells.withColumn("carried", F.when(F.col("again") & F.lag("again").over(order).isNull(), F.lag("cell").over(order)))
+        cells = cells.withColumn("carried_last", F.when(F.col("carried").isNotNull(), F.lag("last").over(order)))
+        again = cells.filter("again").select("cell")
+        known = earlier(seen, number, seen_schema, newest=False).unionByName(new).withColumn("cell", cell)
+        known = known.join(again, "cell", "left_semi").select(*kind.names, "late", F.lit(False).alias("__carried"))
+        carried = cells.filter("carried IS NOT NULL").select(
+            F.col("carried.author").alias("author"), "carried_last.timestamp", "carried_last.id",
+            F.lit(False).alias("late"), F.lit(True).alias("__carried"))
+        gaps = inter_post_gap(known.unionByName(carried)).filter(~F.col("__carried"))
+        gaps.select(*kind.names, "late", "gap_hours").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _drain(rows.writeStream.foreachBatch(write), spark, name)
-    schema = StructType(list(rows.schema.fields)).add("late", "boolean").add("gap_hours", "double")
-    return spark.read.schema(schema.add("batch", "long")).parquet(path).drop("batch")
+    schema = StructType(list(kind.fields)).add("late", "boolean").add("gap_hours", "double")
+    out = spark.read.schema(schema.add("batch", "long")).parquet(path)
+    out = out.withColumn("cell", F.struct("author", F.to_date("timestamp").alias("day")))
+    newest = out.groupBy("cell").agg(F.max("batch").alias("__newest"))
+    return out.join(newest, "cell").filter(F.col("batch") == F.col("__newest")).drop("batch", "cell", "__newest")
