@@ -249,6 +249,23 @@ def test_bpe(edge, empty):
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_unbroken_texts(monkeypatch):
+    import base64
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "MAX_MATCHES", 500)
+    monkeypatch.setattr(bpe, "CUT_BYTES", 50_000)
+    tables, rng = bpe.Tables(open(RANKS, "rb").read(), public_tokenizers.PATTERN), random.Random(7)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tables.ranks, special_tokens={})
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=250)) for _ in range(300)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(300)) for _ in range(50)]
+    texts += [base64.b64encode(rng.randbytes(2000)).decode() for _ in range(20)] + ["ab" * 20_000, None, "\u2003 x \u00a0 "]
+    ids = tables.encode(pa.array(texts))
+    assert ids.to_pylist() == [lib.encode_ordinary(t or "") for t in texts]
+    assert [b.decode() for b in tables.decode(ids).to_pylist()] == [t or "" for t in texts]
+
+
 def test_toxicity(spark, edge, empty):
     rows = [(i, _prose(60, i) + (" awful nasty" * (1 + i % 4) if i % 3 == 0 else "")) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

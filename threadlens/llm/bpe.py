@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
-Encoding: a text is cut into matches of the tokenizer's pattern, and each distinct match of an Arrow
-batch is encoded once. Its bytes are token-position rows; in every step of a recursive query the rows
+Encoding: a text is cut into matches of the tokenizer's pattern, and each distinct match is encoded once;
+``MAX_MATCHES`` of them are kept for later texts. Its bytes are token-position rows; in every step of a recursive query the rows
 join the merge table, and each match contracts its leftmost pair of minimum rank, until no pair of any
 match is in the table. Decoding joins the ids with the vocabulary and concatenates the bytes by an
-ordered aggregation. Both work batch by batch, so memory is bounded by an Arrow batch and a slice of
-matches, and nothing is shuffled.
+ordered aggregation. Both work on a few megabytes of texts at a time, and nothing is shuffled. The recursive query holds the rows of
+all its steps, some n^2 / 2 for a match of n bytes, so a query takes matches up to ``SLICE_STEPS`` such rows, the shortest first.
 
 Cutting is done in two steps: a space before a character that is not white space always begins a match,
 so texts are first split there, and the pattern runs once per distinct piece.
@@ -31,31 +31,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Matches per recursive query, and token rows per decoding query: what bounds DuckDB's memory.
-SLICE_MATCHES = 100_000
-SLICE_TOKENS = 2_000_000
+#: Rows of all steps per recursive query, token rows per decoding query, bytes of texts encoded together, and matches kept.
+SLICE_STEPS = 4_000_000
+SLICE_TOKENS = 1_000_000
+CUT_BYTES = 8_000_000
+MAX_MATCHES = 300_000
 LONG_BYTES = 512
-#: A contraction is packed as rank * 2^20 + position.
+#: A space before white space of any kind, or at the end.
+ODD_SPACE = r" (?:[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]|$)"
+#: A row's place is packed as match * 2^20 + position, a contraction as rank * 2^20 + position.
 SHIFT = 1 << 20
 
 ENCODE = f"""
 WITH RECURSIVE t AS (
-    SELECT 0 AS step, w, pos, id FROM start_rows
+    SELECT 0 AS step, wp, id FROM start_rows
     UNION ALL
     SELECT * FROM (
         WITH near AS (
-            SELECT step, w, pos, id, lead(w) OVER () AS nw, lead(pos) OVER () AS npos,
-                lead(id) OVER () AS nid, lag(w) OVER () AS pw, lag(pos) OVER () AS ppos
-            FROM t),
+            SELECT step, wp, id, lead(wp) OVER o AS nwp, lead(id) OVER o AS nid, lag(wp) OVER o AS pwp
+            FROM t WINDOW o AS (ORDER BY wp)),
         pairs AS MATERIALIZED (
-            SELECT step, w, pos, id, pw, ppos, r FROM near LEFT JOIN merges ON ab = CASE
-                WHEN nw = w AND npos <= pos THEN error('token rows out of order')
-                WHEN nw = w THEN id::BIGINT * 65536 + nid END),
-        best AS (SELECT w, min(r::BIGINT * {SHIFT} + pos) AS k FROM pairs WHERE r IS NOT NULL GROUP BY w)
-        SELECT step + 1, pairs.w, pos, (CASE WHEN pos = k % {SHIFT} THEN k // {SHIFT} ELSE id END)::INTEGER
+            SELECT step, wp, id, pwp, wp >> 20 AS w, r FROM near
+            LEFT JOIN merges ON ab = CASE WHEN nwp >> 20 = wp >> 20 THEN id::BIGINT * 65536 + nid END),
+        best AS (SELECT w, min(r::BIGINT * {SHIFT} + wp % {SHIFT}) AS k FROM pairs WHERE r IS NOT NULL GROUP BY w)
+        SELECT step + 1, wp, (CASE WHEN wp % {SHIFT} = k % {SHIFT} THEN k // {SHIFT} ELSE id END)::INTEGER
         FROM pairs JOIN best ON pairs.w = best.w
-        WHERE pw IS DISTINCT FROM pairs.w OR ppos <> k % {SHIFT}))
-SELECT w, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, pos
+        WHERE pwp IS DISTINCT FROM pairs.w * {SHIFT} + k % {SHIFT}))
+SELECT t.wp >> 20 AS w, id FROM t JOIN (SELECT wp >> 20 AS w, max(step) AS step FROM t GROUP BY 1) m
+    ON m.w = t.wp >> 20 AND m.step = t.step ORDER BY wp
 """
 DECODE = "SELECT d, string_agg(piece, '' ORDER BY pos) AS text FROM token_rows JOIN vocabulary USING (id) GROUP BY d"
 
@@ -76,7 +79,6 @@ class Tables:
             raise ValueError("ids must be below 65536")
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile(r" (?=\S)")
-        self.odd_space = regex.compile(r" (?:\s|$)")
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -89,6 +91,7 @@ class Tables:
         self.bytes_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known = np.zeros(max(self.ranks.values()) + 1, dtype=bool)
         self.known[list(self.ranks.values())] = True
+        self._forget()
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "400MB"})
         ab = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
         self._load("merges", pa.table({"ab": ab, "r": pa.array(rank, pa.int32())}))
@@ -127,20 +130,21 @@ class Tables:
         return [x for x in ids if x >= 0]
 
     def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in one array, and their number per piece."""
+        """Ids of all pieces in one array, and their number per piece. Pieces come in order of their length."""
         ids, sizes = [], []
-        for at in range(0, len(pieces), SLICE_MATCHES):
-            part = pieces[at:at + SLICE_MATCHES]
-            size = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        steps = np.concatenate([[0], np.cumsum(size * (size + 1) // 2)])
+        at = 0
+        while at < len(pieces):
+            to = max(at + 1, int(np.searchsorted(steps, steps[at] + SLICE_STEPS, side="right")) - 1)
+            part, n = pieces[at:to], size[at:to]
             flat = np.frombuffer(b"".join(part), dtype=np.uint8)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            rows = pa.table({
-                "w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos.astype(np.int32),
-                "id": self.bytes_id[flat],
-            })
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            rows = pa.table({"wp": np.repeat(np.arange(len(part)), n) * SHIFT + pos, "id": self.bytes_id[flat]})
             got = self._run("start_rows", rows, ENCODE)
             ids.append(got["id"].to_numpy())
             sizes.append(np.bincount(got["w"].to_numpy(), minlength=len(part)))
+            at = to
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def encode_matches(self, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +154,7 @@ class Tables:
         whole, split = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
         long = [i for i in split.tolist() if len(matches[i]) > LONG_BYTES]
         short = np.setdiff1d(split, long)
+        short = short[np.argsort([len(matches[i]) for i in short.tolist()], kind="stable")]
         ids, size[short] = self._merge_short([matches[i] for i in short.tolist()])
         merged = [np.array(self._merge_long(matches[i]), dtype=np.int32) for i in long]
         size[long] = [len(m) for m in merged]
@@ -158,10 +163,35 @@ class Tables:
         starts[order] = np.cumsum(size[order]) - size[order]
         return np.concatenate([rank[whole], ids, *merged]), starts, size
 
+    def _known(self, matches: list[bytes]) -> np.ndarray:
+        """Places of the matches among those kept; new ones are encoded first."""
+        if len(self.place) > MAX_MATCHES:
+            self._forget()
+        new = [m for m in matches if m not in self.place]
+        if new:
+            pool, starts, size = self.encode_matches(new)
+            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.start = np.concatenate([self.start, starts + len(self.pool)])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
+        return np.fromiter(map(self.place.__getitem__, matches), dtype=np.int64, count=len(matches))
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """list<int32> of ids per text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.fromiter((self.odd_space.search(t) is not None for t in texts.to_pylist()), dtype=bool, count=len(texts))
+        total = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))])
+        out, lo = [pa.array([], pa.list_(pa.int32()))], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + CUT_BYTES, side="right")) - 1)
+            out.append(self._encode(texts.slice(lo, hi - lo)))
+            lo = hi
+        return pa.concat_arrays(out)
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
+        odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
         pieces = pc.split_pattern(texts, " ")
         if odd.any():
             lists = [self.cut.split(t) if o else p for t, o, p in zip(texts.to_pylist(), odd, pieces.to_pylist())]
@@ -184,13 +214,13 @@ class Tables:
                 found += matches
                 counts.append(len(matches))
         words = pc.dictionary_encode(pa.array(found, pa.large_string()))
-        pool, starts, size = self.encode_matches(words.dictionary.cast(pa.large_binary()).to_pylist())
+        place = self._known(words.dictionary.cast(pa.large_binary()).to_pylist())
         counts = np.array(counts, dtype=np.int64)
         word_at, words_in = _spread(np.cumsum(counts) - counts, counts, new[codes])
-        word = np.asarray(words.indices)[word_at]
-        at, ids_in = _spread(starts, size, word)
+        word = place[np.asarray(words.indices)][word_at]
+        at, ids_in = _spread(self.start, self.size, word)
         ends = np.concatenate([[0], np.cumsum(ids_in)])[np.concatenate([[0], np.cumsum(words_in)])[offsets]]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pool[at], pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.pool[at], pa.int32()))
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """UTF-8 bytes per list of ids, by an ordered aggregation over (text, position, id) rows."""
