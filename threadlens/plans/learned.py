@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.operators import classify, matrix, modelfeat, sampling, scoring, topics
+from threadlens.operators import classify, epochs, matrix, metrics, modelfeat, sampling, scoring, topics
 from threadlens.operators.textfeat import add_features
 from threadlens.operators.vectors import group_centroid
 from threadlens.plans import sqltext as q
@@ -142,8 +142,36 @@ def _(spark, d):
     docs = materialize(
         sampling.stratified_split(prepared(spark, d).join(lab, "id"), "label"), "labelled-texts"
     )
-    model, _ = classify.fit_text_classifier(docs, "text_clean", n_features=1 << 14)
-    return model.transform(docs).select("id", "split", "label", "prediction")
+    model, _ = epochs.train_by_epochs(docs, "text_clean")
+    return model.transform(docs, "text_clean").select("id", "split", "label", "prediction", "probability")
+
+
+@query("text_classifier_epochs", """
+SELECT 'train ran and learned' AS what, true AS holds UNION ALL
+SELECT 'loss never above that of zero weights', true UNION ALL
+SELECT 'at most 20 epochs', true UNION ALL
+SELECT 'one best epoch, the last of the highest accuracy', true UNION ALL
+SELECT 'stopped at most 3 epochs after the best', true""")
+def _(spark, d):
+    """What must hold for the epochs of the classifier on the labelled documents."""
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    lab = tables.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    docs = materialize(sampling.stratified_split(docs.join(lab, "id"), "label"), "labelled-texts")
+    table = materialize(epochs.train_by_epochs(docs, "text")[1], "epochs")
+    marked = metrics.select_best_epoch(table.select("epoch", "score")).join(table.select("epoch", "loss"), "epoch")
+    best, top = F.max(F.when(F.col("is_best"), F.col("epoch"))), F.max(F.struct("score", "epoch"))
+    facts = marked.agg(
+        F.count("*").alias("n"), F.max("epoch").alias("last"), best.alias("best"), top.alias("top"), F.count_if("is_best").alias("marks"),
+        F.max("loss").alias("worst"), F.max_by("loss", -F.col("epoch")).alias("first_loss"), F.max_by("loss", "epoch").alias("last_loss"))
+    checks = {
+        "train ran and learned": F.col("last_loss") <= F.col("first_loss"),
+        "loss never above that of zero weights": F.col("worst") <= F.log(F.lit(2.0)) + 1e-9,
+        "at most 20 epochs": (F.col("n") == F.col("last")) & (F.col("last") <= 20),
+        "one best epoch, the last of the highest accuracy": (F.col("marks") == 1) & (F.col("best") == F.col("top.epoch")),
+        "stopped at most 3 epochs after the best": F.col("last") - F.col("best") <= 3,
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("what"), v.alias("holds")) for k, v in checks.items()])
+    return facts.select(F.inline(rows))
 
 
 @query("feature_matrix")
