@@ -89,6 +89,18 @@ VALENCE = {
     "lose": -1.7, "poor": -2.1, "error": -1.7,
 }
 
+# Words of the sentiment rules: what strengthens (+) or weakens (-) the next words, turns them round, or sets parts off.
+BOOSTERS = {
+    "very": 0.293, "really": 0.293, "extremely": 0.293, "so": 0.293, "totally": 0.293, "absolutely": 0.293, "quite": 0.293,
+    "most": 0.293, "more": 0.293, "slightly": -0.293, "somewhat": -0.293, "barely": -0.293, "hardly": -0.293, "almost": -0.293,
+    "less": -0.293, "partly": -0.293,
+}
+NEGATIONS = [
+    "not", "no", "never", "none", "nothing", "neither", "nor", "without", "cannot", "can't", "don't", "doesn't", "didn't",
+    "won't", "isn't", "aren't", "wasn't", "weren't", "shouldn't", "wouldn't", "couldn't", "hasn't", "haven't", "hadn't",
+]
+CONTRASTS = ["but"]
+
 # Request limits of the embedding batcher and the per-minute token budget.
 MAX_TOKENS_PER_REQUEST = 250_000
 MAX_ROWS_PER_REQUEST = 1_000

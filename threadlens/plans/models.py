@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import lexicons as lx
-from threadlens.functions import text
+from threadlens.functions import sentiment, text
 from threadlens.operators import modelfeat as mf
 from threadlens.operators import sampling
 from threadlens.plans import sqltext as q
@@ -85,6 +85,36 @@ def _(spark, d):
     return _rounded(mf.sentiment_scores(cleaned(spark, d), "text_clean", valence=VALENCE))
 
 
+RULES = {"boosters": {"and": 0.293, "on": -0.293}, "negations": ["not", "the", "he"], "contrasts": ["in", "la"]}
+
+
+@query("sentiment_rules", f"""
+WITH {q.BASE}, lex(w, v) AS (VALUES {_VALUES}), bst(w, b) AS (VALUES ('and', 0.293), ('on', -0.293)),
+t AS (SELECT id, text_clean, {_tokens('text_clean')} AS tok FROM base),
+u AS (SELECT id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i FROM t),
+j AS (
+  SELECT id, i, coalesce(v, 0)::DOUBLE AS v, coalesce(b, 0)::DOUBLE AS b, lower(x) IN ('not', 'the', 'he') AS neg,
+    CASE WHEN lower(x) IN ('in', 'la') THEN i END AS turn,
+    regexp_matches(x, '^[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*$') AS caps
+  FROM u LEFT JOIN lex ON lex.w = lower(x) LEFT JOIN bst ON bst.w = lower(x)),
+c AS (
+  SELECT *, min(turn) OVER (PARTITION BY id) AS first_turn, bool_or(caps) OVER (PARTITION BY id) AND NOT bool_and(caps) OVER (PARTITION BY id) AS mixed,
+    coalesce(bool_or(neg) OVER three, false) AS negated, coalesce(bool_or(b <> 0) OVER three, false) AS boosted,
+    coalesce(lag(b, 1) OVER o, 0) + coalesce(lag(b, 2) OVER o, 0) * 0.95 + coalesce(lag(b, 3) OVER o, 0) * 0.9 AS boost
+  FROM j WINDOW o AS (PARTITION BY id ORDER BY i), three AS (PARTITION BY id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+s AS (
+  SELECT id, sum(sign(v) * (abs(v) + CASE WHEN mixed AND caps THEN 0.733 ELSE 0 END + boost) * CASE WHEN negated THEN -0.74 ELSE 1 END
+      * CASE WHEN i < first_turn THEN 0.5 WHEN i > first_turn THEN 1.5 ELSE 1 END) AS s,
+    count(*) FILTER (negated) AS n_negated, count(*) FILTER (boosted) AS n_boosted
+  FROM c WHERE v <> 0 GROUP BY id),
+r AS (SELECT id, coalesce(s, 0) + sign(coalesce(s, 0)) * least(length(text_clean) - length(replace(text_clean, '!', '')), 4) * 0.292 AS s,
+    coalesce(n_negated, 0)::INTEGER AS n_negated, coalesce(n_boosted, 0)::INTEGER AS n_boosted FROM t LEFT JOIN s USING (id))
+SELECT id, round(s / sqrt(s * s + 15), 6) AS sentiment_compound, n_negated, n_boosted FROM r""")
+def _(spark, d):
+    rated = sentiment.add_rule_sentiment(cleaned(spark, d), "text_clean", VALENCE, **RULES)
+    return _rounded(rated.select("id", "sentiment_compound", "n_negated", "n_boosted"))
+
+
 @query("corpus_perplexity", f"""
 WITH {q.BASE}, s AS (SELECT * FROM {q.split_sql('base', 'lang')}),
 lw AS (SELECT id, split, list_transform(ws, lambda x: lower(x)) AS w FROM s),
