@@ -164,7 +164,9 @@ def stratified_split(
 
 
 def split_distribution(df: DataFrame, label: str, classes: list) -> DataFrame:
-    return df.groupBy("split").pivot(label, classes).count().fillna(0)
+    """Rows per split and class; rows without a label are counted in the column ``null``."""
+    counts = [F.count_if(F.col(label) == c).alias(str(c)) for c in classes]
+    return df.groupBy("split").agg(*counts, F.count_if(F.col(label).isNull()).alias("null"))
 
 
 def random_cap_sample(

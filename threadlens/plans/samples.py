@@ -145,7 +145,8 @@ def _(spark, d):
 
 @query("split_distribution", f"""
 SELECT split, count(*) FILTER (label = 'F') AS "F", count(*) FILTER (label = 'O') AS "O",
-  count(*) FILTER (label = 'P') AS "P", count(*) FILTER (label = 'X') AS "X"
+  count(*) FILTER (label = 'P') AS "P", count(*) FILTER (label = 'X') AS "X",
+  count(*) FILTER (label IS NULL) AS "null"
 FROM {q.split_sql(_ORDERS, 'label')} GROUP BY split""")
 def _(spark, d):
     split = s.stratified_split(_orders(spark, d).select("id", "label"))
