@@ -2,6 +2,9 @@
 
 Language ID, exact deduplication, near deduplication, mixing, byte-level BPE. Stages hand through all
 columns and rows that they keep; the last one adds the place in the mix and the token ids.
+
+Edge cases: null and letterless texts go in the first stage; an empty table gives an empty result; repeated rows are exact copies.
+Columns of the input with the name of one that the last stage adds (``ADDED``) are replaced by it, all others stay.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from threadlens.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from threadlens.session import materialize
 
 
+#: Columns that the last stage adds.
+ADDED = ("lane", "mix_order", "token_ids", "n_tokens", "round_trip")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without any letter, or null, go.
 
@@ -48,10 +55,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = mixing.mix(docs).orderBy("mix_order").select("row.*", "lane", "mix_order")
-    both = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return both.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED]
+    mixed_docs = mixing.mix(docs).orderBy("mix_order").select(*kept, "lane", "mix_order")
+    back = "decoded"
+    while back in mixed_docs.columns:
+        back = f"_{back}"
+    both = bpe.decode(bpe.encode(mixed_docs, ranks, pattern), ranks, pattern, out=back)
+    same = F.col(back) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return both.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop(back)
 
 
 STAGES = [
