@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.oracle import compare, connect
 from threadlens.llm import bpe, exact_dedup, fingerprints, langid, lm_score, mixing, near_dedup, quality, queries, suffix_dedup, toxicity
 
@@ -344,3 +345,15 @@ def test_pipeline_without_labels_keeps_documents(spark, edge):
     kept = pipeline.language(spark, docs, SF)
     want = [r["text"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))]
     assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted(want) and want
+
+
+def test_pipeline_clashing_names_and_empty_table(spark, edge, tmp_path):
+    clash = edge.withColumns({c: F.lit("mine") for c in (*corpus_pipeline.ADDED, "decoded", "_decoded", "row")})
+    clash.write.parquet(f"{tmp_path}/clash/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/clash")
+    rows = got.collect()
+    assert set(got.columns) == set(clash.columns) and len(got.columns) == len(clash.columns)
+    assert rows and all(r["round_trip"] is True and r["decoded"] == r["_decoded"] == r["row"] == "mine" for r in rows)
+    assert [r["mix_order"] for r in rows] == sorted(r["mix_order"] for r in rows)
+    clash.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
