@@ -287,11 +287,50 @@ def test_lm_backoff(spark, edge, empty):
     got = {r["doc_id"]: r["log_score"] for r in lm_score.score(docs, pairs, words).collect()}
     assert np.isclose(got[1], np.log(2 / 5) + np.log(2 / 2)) and np.isclose(got[2], np.log(1 / 5) + np.log(0.4 * 2 / 5))
     assert got[3] is None and np.isclose(got[4], np.log(1 / 5))
-    own = {r["doc_id"]: r for r in lm_score.score_corpus(edge).collect()}
-    assert own[0]["log_score"] is None and own[4]["log_score"] == pytest.approx(own[5]["log_score"])
+
+
+def _leave_one_out(texts):
+    """Mean log score of every text under the counts of the others, by dictionaries."""
+    words = [(t or "").split() for t in texts]
+    uni, duo = Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
+    out = []
+    for t in words:
+        u, d = Counter(t), Counter(zip(t, t[1:]))
+        n = lambda w: max(uni[w] - u[w], 1)  # noqa: B023, E731
+        rest = max(sum(uni.values()) - len(t), 1)
+        s = [np.log(n(w) / rest) for w in t[:1]]
+        for v, w in zip(t, t[1:]):
+            seen = duo[v, w] - d[v, w]
+            s.append(np.log(seen / n(v)) if seen else np.log(0.4 * n(w) / rest))
+        out.append(sum(s) if t else None)
+    return out
+
+
+@pytest.mark.parametrize("heavy,hot", [(200_000, 10_000), (5, 5), (1, 1)])
+def test_corpus_scores(spark, edge, empty, monkeypatch, heavy, hot):
+    """Whatever is broadcast or collapsed, every row has the brute-force score."""
+    monkeypatch.setattr(lm_score, "HEAVY", heavy)
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "SAMPLE", 2)
+    rows = edge.select("doc_id", "text").collect()
+    want = sorted(((r["doc_id"], r["text"] is None, s) for r, s in zip(rows, _leave_one_out([r["text"] for r in rows]))), key=str)
+    got = {(r["doc_id"], r["n_words"]): r["log_score"] for r in lm_score.score_corpus(edge).collect()}
+    assert lm_score.score_corpus(edge).count() == len(rows)
+    assert {d for d, _ in got} == {d for d, _, _ in want}
+    for row, score in zip(rows, _leave_one_out([r["text"] for r in rows])):
+        mine = got[row["doc_id"], len((row["text"] or "").split())]
+        assert mine == (None if score is None else pytest.approx(score))
     assert lm_score.score_corpus(empty).count() == 0
 
 
+def test_gibberish_ranks_below_prose(spark):
+    prose = [" ".join(WORDS[(i + j) % 9] for j in range(40)) for i in range(30)]
+    noise = " ".join(f"q{j}x" for j in range(40))
+    docs = spark.createDataFrame(list(enumerate([*prose, noise, noise[:20] * 9])), "doc_id bigint, text string")
+    means = {r["doc_id"]: r["log_score"] / r["n_words"] for r in lm_score.score_corpus(docs).collect()}
+    assert max(means[30], means[31]) < min(means[i] for i in range(30))
+
+
 def test_pipeline_matches_brute_force(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,29 +1,41 @@
 """Stupid-backoff language-model scores as joins with n-gram count tables.
 
 S(w | v) = n(v w) / n(v) if the pair was counted, else ALPHA n(w) / N; the first word of a text has no
-context and gets n(w) / N. Words and pairs are compared by 64-bit hashes. ``count_tables`` makes the
-tables, ``score`` joins any texts with them, backing off where a pair is missing.
-
-``score_corpus`` scores a corpus under its own counts. Every pair is then counted, so the log score of a
-text is the sum of ln n(v w) over its pairs less the sum of ln n(v) over its words but the last, plus
-ln n(w) / N of its first word: the tables are joined independently, and each occurrence moves once, as
-(hash, text). Counts are taken from the rows that were moved for scoring. Keys that hold a large share of
-all occurrences (at most ``HEAVY`` of them) are counted by pre-aggregation and joined by broadcast; which
-pairs those are is guessed from a hash sample of texts, which decides the route and never the result.
-
-Edge cases: null counts as empty; a text without words has a null score. A word unknown to the tables
-counts as seen once. Rows that repeat are scored alike. Words end at ASCII white space.
+context and gets n(w) / N. Words are compared by 64-bit hashes. ``count_tables`` makes the tables,
+``score`` joins any texts with them, backing off where a pair is missing.
+
+``score_corpus`` scores every text of a corpus under the counts of all other rows: from n(v w), n(v), n(w)
+and N the row's own occurrences are taken away, so a pair that no other row has backs off and a text cannot
+vouch for itself. A copy in another row does count. Each distinct pair of a text is one row with its count,
+exploded and shuffled once to the pair's hash, where it meets its total; what is known there (ln of the
+pair count, or the two words of a missing pair) is joined with the word counts and summed per text.
+
+Frequent keys never meet in one task: pairs and words above 1 / HEAVY of all occurrences (so fewer than
+HEAVY of them) are counted with map-side aggregation and joined by broadcast. Which pairs those are is guessed from
+a hash sample of texts; the guess decides the route and never the result. Texts with more than 1 / HOT
+of all rows as copies are collapsed to one weighted row first, so the sample sees repeated texts as they weigh.
+
+Edge cases: null counts as empty; a text without words has a null score. A word that no other row has
+counts as seen once. Rows that repeat are scored alike. Words end at ASCII white space. A corpus of one
+row has N = 1, and each of its words scores as seen once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.session import materialize
 
 ALPHA = 0.4
-HEAVY = 50_000
+#: Bound on the pairs and on the words that are broadcast.
+HEAVY = 200_000
+#: Bound on the texts that are collapsed because of their copies.
+HOT = 10_000
 #: One text in so many is looked at to guess frequent pairs.
 SAMPLE = 50
 
@@ -75,49 +87,126 @@ def _named(rows: DataFrame, means: DataFrame, id_col: str) -> DataFrame:
     return out.select(F.col("id").alias(id_col), "n_words", (F.col("mean") * F.col("n_words")).alias("log_score"))
 
 
-def _log_counts(occurrences: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(key, s): per text, the sum of ln n over occurrences (key, h).
-
-    ``heavy`` has at most HEAVY hashes. All others are counted where their occurrences meet for the join.
-    """
-    marked = F.broadcast(heavy.select("h"))
-    counts = occurrences.join(marked, "h").groupBy("h").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "heavy")
-    often = occurrences.join(F.broadcast(counts), "h")
-    # A window instead of a join with the grouped counts: each occurrence is shuffled once.
-    light = occurrences.join(marked, "h", "left_anti").select("key", "h")
-    rare = light.withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    total = lambda df: df.groupBy("key").agg(F.sum(F.ln("n")).alias("s"))
-    return total(often).unionAll(total(rare))
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts rows by ``keys``, the first place of each run of equal rows, and the run lengths."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row number and hash of every word of a batch, how often its row has the word, and where texts end."""
+    lists = batch.column("w")
+    lengths = np.diff(lists.offsets.to_numpy())
+    doc, word = np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy()
+    order, _, length = _runs(doc, word)
+    own = np.empty(len(word), dtype="int64")
+    own[order] = np.repeat(length, length)
+    last = np.ones(len(word), dtype=bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    return doc, word, own, last
+
+
+def _out(batch: pa.RecordBatch, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    named = {n: batch.column(n).to_numpy()[doc] for n in ("key", "weight")} | columns
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in named.values()], list(named))
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, word, own, last = _flat(batch)
+        at = np.flatnonzero(~last)
+        order, first, c = _runs(doc[at], word[at], word[at + 1])
+        at = at[order[first]]
+        yield _out(batch, doc[at], v=word[at], w=word[at + 1], c=c, own_v=own[at], own_w=own[at + 1])
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, word, own, last = _flat(batch)
+        order, first, c = _runs(doc, word)
+        opens = np.ones(len(word), dtype=bool)
+        opens[1:] = last[:-1]
+        # The first word of a text is scored by itself; all words but the last are contexts.
+        coef = np.add.reduceat((opens.astype("int64") + last - 1)[order], first) if len(first) else c
+        yield _out(batch, doc[order[first]], word=word[order[first]], own=c, coef=coef)
+
+
+def _text_pairs(rows: DataFrame) -> DataFrame:
+    """One row per text and distinct pair: its count ``c`` and the counts of both words in the text."""
+    schema = "key long, weight long, v long, w long, c long, own_v long, own_w long"
+    return rows.filter(F.size("w") > 1).select("key", "weight", "w").mapInArrow(_pair_batches, schema)
+
+
+def _text_words(rows: DataFrame) -> DataFrame:
+    """One row per text and distinct word: its count ``own``, and how often ln n(word) enters as start or context."""
+    schema = "key long, weight long, word long, own long, coef long"
+    return rows.filter(F.size("w") > 0).select("key", "weight", "w").mapInArrow(_word_batches, schema)
+
+
+def _weighted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, weight, w) of all texts; those with very many copies are one row of that weight."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    copies = materialize(rows.groupBy("key").agg(F.count("*").alias("n")), "copies")
+    hot = F.broadcast(_above_share(copies, HOT).withColumnRenamed("n", "weight"))
+    once = rows.join(hot, "key").groupBy("key", "weight").agg(F.max("text").alias("text"))
+    rest = rows.join(hot, "key", "left_anti").select("key", F.lit(1).cast("long").alias("weight"), "text")
+    return rest.unionAll(once.select("key", "weight", "text")).select("key", "weight", word_hashes(F.col("text")).alias("w"))
+
+
+def _seen_elsewhere(rows: DataFrame) -> DataFrame:
+    """``_text_pairs`` with ``n``: how often all other rows have the pair."""
+    pairs = _text_pairs(rows)
+    sampled = _text_pairs(rows.filter(F.pmod("key", F.lit(SAMPLE)) == 0))
+    guess = materialize(sampled.groupBy("v", "w").agg(F.sum(F.col("c") * F.col("weight")).alias("n")), "sample")
+    marked = F.broadcast(_above_share(guess, HEAVY).select("v", "w"))
+    size = F.col("c") * F.col("weight")
+    heavy = materialize(pairs.join(marked, ["v", "w"]).groupBy("v", "w").agg(F.sum(size).alias("n")), "heavy")
+    often = pairs.join(F.broadcast(heavy), ["v", "w"])
+    # A window instead of a join with the grouped counts: each pair of a text is shuffled once.
+    light = pairs.join(marked, ["v", "w"], "left_anti").withColumn("n", F.sum(size).over(Window.partitionBy("v", "w")))
+    cols = ["key", "v", "w", "c", "own_v", "own_w"]
+    return often.select(*cols, (F.col("n") - F.col("c")).alias("n")).unionAll(light.select(*cols, (F.col("n") - F.col("c")).alias("n")))
 
 
 def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_score) of every text under the counts of all texts."""
-    rows = _prepared(df, id_col, text_col)
-    pairs = _pairs(rows).select("key", "h")
-    guess = pairs.filter(F.pmod("key", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.count("*").alias("n"))
-    frequent = _above_share(materialize(guess, "sample"))
-    words = rows.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    """(id, n_words, log_score) of every text under the counts of all other rows."""
+    rows = _weighted(df, id_col, text_col)
+    in_text = _text_words(rows)
+    words = in_text.groupBy("word").agg(F.sum(F.col("own") * F.col("weight")).alias("n"))
     words = materialize(words, "words")
-    total = words.agg(F.sum("n")).first()[0] or 1
-    # ln n(v) of all words but the last, and ln n(w) of the first: the first and the others cancel in part.
-    n = F.size("w")
-    inner = F.when(n > 2, F.slice("w", 2, n - 2)).otherwise(F.array().cast("array<bigint>"))
-    context = rows.select("key", F.explode(inner).alias("h"))
-    often = F.col("n") * HEAVY > total
-    heavy, light = F.broadcast(words.filter(often)), words.filter(~often)
-    by_text = lambda d: d.groupBy("key").agg((-F.sum(F.ln("n"))).alias("s"))
-    uni = by_text(context.join(heavy, "h")).unionAll(by_text(context.join(heavy, "h", "left_anti").join(light, "h")))
-    # A text of one word has ln n(w) - ln N; longer ones lose it again as the first context.
-    alone = rows.filter(n == 1).select("key", F.col("w")[0].alias("h")).join(words, "h").groupBy("key").agg(F.sum(F.ln("n")).alias("s"))
-    base = rows.filter(n > 0).groupBy("key").agg(F.sum(F.lit(0.0) - F.ln(F.lit(float(total)))).alias("s"))
-    parts = _log_counts(pairs, frequent).unionAll(uni).unionAll(alone).unionAll(base)
-    copies = rows.groupBy("key").agg(F.sum(n.cast("long")).alias("m"))
-    sums = parts.groupBy("key").agg(F.sum("s").alias("s")).join(copies, "key")
-    return _named(rows, sums.select("key", F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("mean")), id_col)
-
-
-def _above_share(counts: DataFrame) -> DataFrame:
-    """Rows with more than 1 / HEAVY of the total: fewer than HEAVY of them."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    pairs = _seen_elsewhere(rows)
+    # A missing pair gives back the context's ln n(v), which all contexts are charged, and pays for its own word.
+    part = lambda word, own, miss: F.struct(
+        word.alias("word"), own.alias("own"), F.col("c").alias("coef"), F.lit(0.0).alias("s"), miss.alias("miss"))
+    none = F.lit(None).cast("long")
+    hit = F.struct(none.alias("word"), none.alias("own"), none.alias("coef"),
+                   (F.col("c") * F.ln(F.col("n"))).alias("s"), F.lit(0).cast("long").alias("miss"))
+    missing = F.array(part(F.col("v"), F.col("own_v"), F.lit(0).cast("long")), part(F.col("w"), F.col("own_w"), F.col("c")))
+    parts = pairs.select("key", F.explode(F.when(F.col("n") > 0, F.array(hit)).otherwise(missing)).alias("p")).select("key", "p.*")
+    parts = parts.unionAll(in_text.select("key", "word", "own", "coef", F.lit(0.0), F.lit(0).cast("long")))
+    heavy = _above_share(words, HEAVY)
+    light = words.join(F.broadcast(heavy.select("word")), "word", "left_anti")
+    value = F.col("s") + F.coalesce(F.col("coef") * F.ln(F.greatest(F.col("n") - F.col("own"), F.lit(1))), F.lit(0.0))
+    sums = lambda d: d.groupBy("key").agg(F.sum(value).alias("s"), F.sum("miss").alias("miss"))
+    known = parts.join(F.broadcast(heavy), "word", "left").filter("n IS NOT NULL OR word IS NULL")
+    rest = parts.filter("word IS NOT NULL").join(F.broadcast(heavy.select("word")), "word", "left_anti").join(light, "word")
+    about = rows.groupBy("key").agg(F.count("*").alias("r"), F.max(F.size("w").cast("long")).alias("n_words"))
+    got = sums(known).unionAll(sums(rest)).groupBy("key").agg(F.sum("s").alias("s"), F.sum("miss").alias("miss"))
+    got = about.join(got, "key", "left")
+    miss, others = F.col("miss") / F.col("r"), F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
+    log_score = F.col("s") / F.col("r") + miss * F.ln(F.lit(ALPHA)) - (miss + 1) * F.ln(others)
+    got = got.select("key", "n_words", F.when(F.col("n_words") > 0, log_score).alias("log_score"))
+    ids = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    return ids.join(got, "key", "left").select(F.col("id").alias(id_col), "n_words", "log_score")
+
+
+def _above_share(counts: DataFrame, parts: int) -> DataFrame:
+    """Rows with more than 1 / ``parts`` of the total: fewer than ``parts`` of them."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") * HEAVY > total)
+    return counts.filter(F.col("n") * parts > total)

@@ -123,12 +123,18 @@ WITH d AS (
     FROM documents),
 x AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
 p AS (SELECT a.k, a.w AS v, b.w AS w FROM x a JOIN x b ON a.k = b.k AND b.i = a.i + 1),
-uni AS (SELECT w, count(*) AS n FROM x GROUP BY w),
-duo AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
+own AS (SELECT k, w, count(*) AS n FROM x GROUP BY k, w),
+uni AS (SELECT w, sum(n) AS n FROM own GROUP BY w),
+rest AS (SELECT own.k, own.w, greatest(uni.n - own.n, 1) AS n FROM own JOIN uni USING (w)),
+mine AS (SELECT k, v, w, count(*) AS c FROM p GROUP BY k, v, w),
+duo AS (SELECT v, w, sum(c) AS n FROM mine GROUP BY v, w),
+others AS (SELECT k, greatest((SELECT sum(n) FROM uni) - len(w), 1) AS n FROM d),
 s AS (
-    SELECT k, ln(duo.n) - ln(uni.n) AS s FROM p JOIN duo USING (v, w) JOIN uni ON uni.w = p.v
+    SELECT k, c * CASE WHEN duo.n > c THEN ln(duo.n - c) - ln(a.n) ELSE ln(0.4) + ln(b.n) - ln(others.n) END AS s
+    FROM mine JOIN duo USING (v, w) JOIN rest a USING (k) JOIN rest b USING (k) JOIN others USING (k)
+    WHERE a.w = mine.v AND b.w = mine.w
     UNION ALL
-    SELECT k, ln(n) - ln((SELECT sum(n) FROM uni)) FROM x JOIN uni USING (w) WHERE i = 1),
+    SELECT k, ln(rest.n) - ln(others.n) FROM x JOIN rest USING (k, w) JOIN others USING (k) WHERE i = 1),
 t AS (SELECT k, sum(s) AS s FROM s GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(t.s / len(w), 6) AS mean_log_score
 FROM d LEFT JOIN t USING (k)
@@ -137,7 +143,7 @@ FROM d LEFT JOIN t USING (k)
 
 @_query("op5_lm_score", LM_SQL)
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log score of every document under the word-pair counts of all documents."""
+    """Mean log score of every document under the word and pair counts of all other documents."""
     scored = lm_score.score_corpus(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"))
 
