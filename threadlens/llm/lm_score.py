@@ -10,8 +10,8 @@ vouch for itself. A copy in another row does count. Each distinct pair of a text
 exploded and shuffled once to the pair's hash, where it meets its total; what is known there (ln of the
 pair count, or the two words of a missing pair) is joined with the word counts and summed per text.
 
-Frequent keys never meet in one task: pairs and words above 1 / HEAVY of all occurrences (so fewer than
-HEAVY of them) are counted with map-side aggregation and joined by broadcast. Which pairs those are is guessed from
+Frequent keys never meet in one task: the most frequent pairs and words (at most HEAVY of each)
+are counted with map-side aggregation and joined by broadcast. Which pairs those are is guessed from
 a hash sample of texts; the guess decides the route and never the result. Texts with more than 1 / HOT
 of all rows as copies are collapsed to one weighted row first, so the sample sees repeated texts as they weigh.
 
@@ -110,41 +110,35 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc, word, own, last
 
 
-def _out(batch: pa.RecordBatch, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    named = {n: batch.column(n).to_numpy()[doc] for n in ("key", "weight")} | columns
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in named.values()], list(named))
-
-
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, word, own, last = _flat(batch)
-        at = np.flatnonzero(~last)
-        order, first, c = _runs(doc[at], word[at], word[at + 1])
-        at = at[order[first]]
-        yield _out(batch, doc[at], v=word[at], w=word[at + 1], c=c, own_v=own[at], own_w=own[at + 1])
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, word, own, last = _flat(batch)
-        order, first, c = _runs(doc, word)
+        # Words: the first one is scored by itself; all but the last are contexts.
+        order, first, _ = _runs(doc, word)
         opens = np.ones(len(word), dtype=bool)
         opens[1:] = last[:-1]
-        # The first word of a text is scored by itself; all words but the last are contexts.
-        coef = np.add.reduceat((opens.astype("int64") + last - 1)[order], first) if len(first) else c
-        yield _out(batch, doc[order[first]], word=word[order[first]], own=c, coef=coef)
-
-
-def _text_pairs(rows: DataFrame) -> DataFrame:
-    """One row per text and distinct pair: its count ``c`` and the counts of both words in the text."""
+        change = (opens.astype("int64") + last - 1)[order]
+        coef = np.add.reduceat(change, first) if len(first) else change
+        at = order[first]
+        # Pairs: each distinct one of a text with its count.
+        left = np.flatnonzero(~last)
+        order, first, c = _runs(doc[left], word[left], word[left + 1])
+        left = left[order[first]]
+        both, is_word = np.concatenate([at, left]), np.arange(len(at) + len(left)) < len(at)
+        after = np.where(is_word, 0, both + 1)
+        columns = {
+            "key": batch.column("key").to_numpy()[doc[both]], "weight": batch.column("weight").to_numpy()[doc[both]],
+            "v": word[both], "w": pa.array(word[after] if len(word) else word, pa.int64(), mask=is_word),
+            "c": np.concatenate([coef, c]), "own_v": own[both], "own_w": own[after] if len(word) else own,
+        }
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], list(columns))
+
+
+def _text_counts(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (v, w) of each text with their count ``c`` and the counts of both words in the text, and its
+    distinct words (v, null), where ``c`` is how often ln n(v) enters the score as start (+) or context (-)."""
     schema = "key long, weight long, v long, w long, c long, own_v long, own_w long"
-    return rows.filter(F.size("w") > 1).select("key", "weight", "w").mapInArrow(_pair_batches, schema)
-
-
-def _text_words(rows: DataFrame) -> DataFrame:
-    """One row per text and distinct word: its count ``own``, and how often ln n(word) enters as start or context."""
-    schema = "key long, weight long, word long, own long, coef long"
-    return rows.filter(F.size("w") > 0).select("key", "weight", "w").mapInArrow(_word_batches, schema)
+    return rows.select("key", "weight", "w").mapInArrow(_batches, schema)
 
 
 def _weighted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,46 +152,63 @@ def _weighted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rest.unionAll(once.select("key", "weight", "text")).select("key", "weight", word_hashes(F.col("text")).alias("w"))
 
 
-def _seen_elsewhere(rows: DataFrame) -> DataFrame:
-    """``_text_pairs`` with ``n``: how often all other rows have the pair."""
-    pairs = _text_pairs(rows)
-    sampled = _text_pairs(rows.filter(F.pmod("key", F.lit(SAMPLE)) == 0))
-    guess = materialize(sampled.groupBy("v", "w").agg(F.sum(F.col("c") * F.col("weight")).alias("n")), "sample")
-    marked = F.broadcast(_above_share(guess, HEAVY).select("v", "w"))
-    size = F.col("c") * F.col("weight")
-    heavy = materialize(pairs.join(marked, ["v", "w"]).groupBy("v", "w").agg(F.sum(size).alias("n")), "heavy")
-    often = pairs.join(F.broadcast(heavy), ["v", "w"])
-    # A window instead of a join with the grouped counts: each pair of a text is shuffled once.
-    light = pairs.join(marked, ["v", "w"], "left_anti").withColumn("n", F.sum(size).over(Window.partitionBy("v", "w")))
-    cols = ["key", "v", "w", "c", "own_v", "own_w"]
-    return often.select(*cols, (F.col("n") - F.col("c")).alias("n")).unionAll(light.select(*cols, (F.col("n") - F.col("c")).alias("n")))
+def _most_frequent(counts: DataFrame, bound: int) -> DataFrame:
+    """The rows from some frequency on, the lowest that leaves at most ``bound`` rows.
+
+    Frequencies are compared by eighths of their binary logarithm, so the driver sees at most 512 numbers.
+    """
+    step = F.floor(F.log2("n") * 8)
+    bins = counts.filter("n > 1").groupBy(step.alias("b")).agg(F.count("*").alias("m")).orderBy(F.desc("b")).collect()
+    within, cut = 0, None
+    for row in bins:
+        within += row["m"]
+        if within > bound:
+            break
+        cut = row["b"]
+    return counts.filter((F.col("n") > 1) & (step >= cut)) if cut is not None else counts.limit(0)
 
 
 def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_score) of every text under the counts of all other rows."""
     rows = _weighted(df, id_col, text_col)
-    in_text = _text_words(rows)
-    words = in_text.groupBy("word").agg(F.sum(F.col("own") * F.col("weight")).alias("n"))
-    words = materialize(words, "words")
+    counts = _text_counts(rows)
+    size = F.when(F.col("w").isNull(), F.col("own_v")).otherwise(F.col("c")) * F.col("weight")
+    sampled = _text_counts(rows.filter(F.pmod("key", F.lit(SAMPLE)) == 0)).filter("w IS NOT NULL")
+    guess = materialize(sampled.groupBy("v", "w").agg(F.sum(size).alias("n")), "sample")
+    marked = F.broadcast(materialize(_most_frequent(guess, HEAVY).select("v", "w", F.lit(True).alias("often")), "marked"))
+    routed = counts.join(marked, ["v", "w"], "left")
+    kept = routed.filter("w IS NULL OR often").groupBy("v", "w").agg(F.sum(size).alias("n"))
+    tables = materialize(kept, "counts")
+    words = tables.filter("w IS NULL").select(F.col("v").alias("word"), "n")
     total = words.agg(F.sum("n")).first()[0] or 0
-    pairs = _seen_elsewhere(rows)
+    # Words and frequent pairs stay in their task; the other pairs are shuffled once and meet their count in a
+    # window, which saves the second shuffle of a join with grouped counts.
+    near = routed.filter("w IS NULL OR often").drop("often")
+    near = near.join(F.broadcast(tables.filter("w IS NOT NULL")), ["v", "w"], "left")
+    far = routed.filter("w IS NOT NULL AND often IS NULL").drop("often")
+    far = far.withColumn("n", F.sum(size).over(Window.partitionBy("v", "w")))
+    cols = ["key", "v", "w", "c", "own_v", "own_w", "n"]
+    seen = near.select(*cols).unionAll(far.select(*cols)).withColumn("n", F.col("n") - F.col("c"))
     # A missing pair gives back the context's ln n(v), which all contexts are charged, and pays for its own word.
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     part = lambda word, own, miss: F.struct(
         word.alias("word"), own.alias("own"), F.col("c").alias("coef"), F.lit(0.0).alias("s"), miss.alias("miss"))
-    none = F.lit(None).cast("long")
     hit = F.struct(none.alias("word"), none.alias("own"), none.alias("coef"),
-                   (F.col("c") * F.ln(F.col("n"))).alias("s"), F.lit(0).cast("long").alias("miss"))
-    missing = F.array(part(F.col("v"), F.col("own_v"), F.lit(0).cast("long")), part(F.col("w"), F.col("own_w"), F.col("c")))
-    parts = pairs.select("key", F.explode(F.when(F.col("n") > 0, F.array(hit)).otherwise(missing)).alias("p")).select("key", "p.*")
-    parts = parts.unionAll(in_text.select("key", "word", "own", "coef", F.lit(0.0), F.lit(0).cast("long")))
-    heavy = _above_share(words, HEAVY)
-    light = words.join(F.broadcast(heavy.select("word")), "word", "left_anti")
-    value = F.col("s") + F.coalesce(F.col("coef") * F.ln(F.greatest(F.col("n") - F.col("own"), F.lit(1))), F.lit(0.0))
-    sums = lambda d: d.groupBy("key").agg(F.sum(value).alias("s"), F.sum("miss").alias("miss"))
-    known = parts.join(F.broadcast(heavy), "word", "left").filter("n IS NOT NULL OR word IS NULL")
-    rest = parts.filter("word IS NOT NULL").join(F.broadcast(heavy.select("word")), "word", "left_anti").join(light, "word")
+                   (F.col("c") * F.ln(F.col("n"))).alias("s"), zero.alias("miss"))
+    word = part(F.col("v"), F.col("own_v"), zero)
+    found = F.when(F.col("w").isNull(), F.array(word)).when(F.col("n") > 0, F.array(hit)).otherwise(
+        F.array(word, part(F.col("w"), F.col("own_w"), F.col("c"))))
+    parts = seen.select("key", F.explode(found).alias("p")).select("key", "p.*")
+    heavy = F.broadcast(materialize(_most_frequent(words, HEAVY), "heavy"))
+    paid = F.coalesce(F.col("coef") * F.ln(F.greatest(F.col("n") - F.col("own"), F.lit(1))), F.lit(0.0))
+    # What is not paid yet is one row per text and word; it is joined with the word counts after that.
+    open_word = F.when(F.col("n").isNull(), F.col("word"))
+    parts = parts.join(heavy, "word", "left").groupBy("key", open_word.alias("word")).agg(
+        F.sum(F.col("s") + paid).alias("s"), F.sum("miss").alias("miss"), F.max("own").alias("own"), F.sum("coef").alias("coef"))
+    rest = parts.filter("word IS NOT NULL").join(words, "word").select("key", (F.col("s") + paid).alias("s"), "miss")
+    sums = parts.filter("word IS NULL").select("key", "s", "miss").unionAll(rest)
+    got = sums.groupBy("key").agg(F.sum("s").alias("s"), F.sum("miss").alias("miss"))
     about = rows.groupBy("key").agg(F.count("*").alias("r"), F.max(F.size("w").cast("long")).alias("n_words"))
-    got = sums(known).unionAll(sums(rest)).groupBy("key").agg(F.sum("s").alias("s"), F.sum("miss").alias("miss"))
     got = about.join(got, "key", "left")
     miss, others = F.col("miss") / F.col("r"), F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
     log_score = F.col("s") / F.col("r") + miss * F.ln(F.lit(ALPHA)) - (miss + 1) * F.ln(others)
