@@ -312,6 +312,7 @@ def test_corpus_scores(spark, edge, empty, monkeypatch, heavy, hot):
     monkeypatch.setattr(lm_score, "HEAVY", heavy)
     monkeypatch.setattr(lm_score, "HOT", hot)
     monkeypatch.setattr(lm_score, "SAMPLE", 2)
+    monkeypatch.setattr(lm_score, "SLICE_WORDS", 50 * hot)
     rows = edge.select("doc_id", "text").collect()
     got = {(r["doc_id"], r["n_words"]): r["log_score"] for r in lm_score.score_corpus(edge).collect()}
     assert lm_score.score_corpus(edge).count() == len(rows)

@@ -38,6 +38,8 @@ HEAVY = 200_000
 HOT = 10_000
 #: One text in so many is looked at to guess frequent pairs.
 SAMPLE = 50
+#: Words that a task holds as arrays at a time.
+SLICE_WORDS = 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -110,8 +112,19 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc, word, own, last
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, in slices of some SLICE_WORDS words (or one text)."""
     for batch in batches:
+        ends = batch.column("w").offsets.to_numpy()
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_WORDS, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         doc, word, own, last = _flat(batch)
         # Words: the first one is scored by itself; all but the last are contexts.
         order, first, _ = _runs(doc, word)
