@@ -37,7 +37,7 @@ HEAVY = 200_000
 #: Bound on the texts that are collapsed because of their copies.
 HOT = 10_000
 #: One text in so many is looked at to guess frequent pairs.
-SAMPLE = 50
+SAMPLE = 8
 #: Words that a task holds as arrays at a time.
 SLICE_WORDS = 200_000
 
@@ -218,6 +218,7 @@ def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_word = F.when(F.col("n").isNull(), F.col("word"))
     parts = parts.join(heavy, "word", "left").groupBy("key", open_word.alias("word")).agg(
         F.sum(F.col("s") + paid).alias("s"), F.sum("miss").alias("miss"), F.max("own").alias("own"), F.sum("coef").alias("coef"))
+    parts = materialize(parts, "parts")
     rest = parts.filter("word IS NOT NULL").join(words, "word").select("key", (F.col("s") + paid).alias("s"), "miss")
     sums = parts.filter("word IS NULL").select("key", "s", "miss").unionAll(rest)
     got = sums.groupBy("key").agg(F.sum("s").alias("s"), F.sum("miss").alias("miss"))
