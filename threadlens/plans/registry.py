@@ -32,7 +32,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def load() -> dict[str, Query]:
     from threadlens.plans import (  # noqa: F401
-        files, learned, metrics, models, profiles, samples, shapes, streams, textual, threads, vectors,
+        borders, files, learned, metrics, models, profiles, samples, shapes, streams, textual, threads, vectors,
     )
 
     return QUERIES
