@@ -66,9 +66,8 @@ class VectorBlocks:
         # Cells of about a block each while the pivots stay a small driver-side matrix.
         count = pivots or min(1024, max(1, math.ceil(math.sqrt(n) / 2)))
         sample = random_cap_sample(reps.select("rep", "vec"), count, "rep", seed).select("vec")
-        self.pivots = np.array([r["vec"] for r in sample.collect()], dtype="float64").reshape(
-            min(count, n), -1
-        )
+        found = [r["vec"] for r in sample.collect()] or [[0.0]]  # no rows: one pivot that nothing is placed at
+        self.pivots = np.array(found, dtype="float64").reshape(len(found), -1)
         placed = materialize(self._assign(reps), "cells")
         stats = placed.groupBy("cell").agg(
             F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
@@ -99,11 +98,13 @@ class VectorBlocks:
         schema = f"rep {self.id_type}, vec array<double>, weight long, cell int, radius double"
         return reps.select("rep", "vec", "weight").mapInPandas(nearest, schema)
 
-    def visits(self, queries: DataFrame, skip_own: bool) -> DataFrame:
+    def visits(self, queries: DataFrame, skip_own: bool, carry: dict[str, str] | None = None) -> DataFrame:
         """One row per (query, block to visit); ``reach`` is how far a useful partner may be.
 
         A block is left out only when the triangle inequality puts all of its cell beyond reach.
+        ``carry`` names further columns, with their types, that the visitor takes along.
         """
+        carry = carry or {"core": "boolean"}
         pivots, inner, outer, n_blocks = self.pivots, self.inner, self.outer, self.n_blocks
 
         def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,20 +129,22 @@ class VectorBlocks:
                             cell=cell[s].astype("int32"), block=block[s].astype("int32")
                         )
 
-        cols = ["rep", "vec", "weight", "cell", "block", "reach", "core"]
+        cols = ["rep", "vec", "weight", "cell", "block", "reach", *carry]
         schema = (
-            f"rep {self.id_type}, vec array<double>, weight long, cell int, block int, "
-            "reach double, core boolean"
+            f"rep {self.id_type}, vec array<double>, weight long, cell int, block int, reach double, "
+            + ", ".join(f"{name} {kind}" for name, kind in carry.items())
         )
         return queries.select(*cols).mapInPandas(expand, schema)
 
-    def scan(self, data: DataFrame, visits: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    def scan(
+        self, data: DataFrame, visits: DataFrame, kernel: Callable, schema: str, carry: tuple[str, ...] = ("core",),
+    ) -> DataFrame:
         """Stream the visiting rows of each block past the block's own rows.
 
         Rows are co-partitioned by block and sorted with the block's own rows first. A task holds one
         block and one batch of visitors at a time, however many visitors a block has.
         """
-        cols = ["rep", "vec", "weight", "cell", "block", "reach", "core"]
+        cols = ["rep", "vec", "weight", "cell", "block", "reach", *carry]
         own = data.withColumn("reach", F.lit(0.0)).select(*cols).withColumn("role", F.lit(0))
         both = own.unionByName(visits.select(*cols).withColumn("role", F.lit(1)))
         ordered = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
@@ -186,13 +189,14 @@ def _best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def knn_graph(
-    df: DataFrame, k: int = 15, id_col: str = "id", vec: str = "embedding", **blocks,
+    df: DataFrame, k: int = 15, id_col: str = "id", vec: str = "embedding", index: VectorBlocks | None = None, **blocks,
 ) -> DataFrame:
     """The k nearest rows of every row by cosine, exact, ties going to the smaller id.
 
     Columns: id, rank, neighbor, similarity. A zero vector has no direction, hence no neighbours.
+    ``index`` is given when the blocks of ``df`` exist already.
     """
-    vb = VectorBlocks(df, id_col, vec, **blocks)
+    vb = index or VectorBlocks(df, id_col, vec, **blocks)
     edge = f"rep {vb.id_type}, other {vb.id_type}, similarity double"
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.operators import hierarchy
 from threadlens.operators import neighbours as nb
 from threadlens.operators import vectors as v
 from threadlens.plans.registry import query
@@ -109,3 +110,8 @@ def _(spark, d):
     return nb.density_clusters(
         tables.vectors(spark, d), min_similarity=0.3, min_points=5, min_cluster_size=10
     )
+
+
+@query("density_hierarchy")
+def _(spark, d):
+    return hierarchy.density_hierarchy(tables.vectors(spark, d), min_points=5, min_cluster_size=10)
