@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.operators import classify, epochs, matrix, metrics, modelfeat, sampling, scoring, topics
+from threadlens.operators import classify, epochs, matrix, metrics, modelfeat, sampling, scoring, topicmerge, topics
 from threadlens.operators.textfeat import add_features
 from threadlens.operators.vectors import group_centroid
 from threadlens.plans import sqltext as q
@@ -30,6 +30,42 @@ def _(spark, d):
     return model.transform(docs).select("id", "split", "topic_id", "topic_similarity")
 
 
+_ALIKE = f"""{q.BASE}, t AS (
+  SELECT concat_ws('/', community, lang) AS topic_id, unnest({_tokens('lower(text_clean)')}) AS term FROM base
+), c AS (SELECT topic_id, term, count(*) AS n FROM t GROUP BY ALL),
+tot AS (SELECT topic_id, sum(n) AS total FROM c GROUP BY topic_id),
+f AS (SELECT term, sum(n) AS f FROM c GROUP BY term),
+w AS (SELECT topic_id, term, n / total * ln(1 + (SELECT avg(total) FROM tot) / f) AS w
+  FROM c JOIN tot USING (topic_id) JOIN f USING (term)),
+u AS (SELECT topic_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY topic_id)) AS u FROM w),
+p AS (SELECT x.topic_id AS a, y.topic_id AS b, round(sum(x.u * y.u), 9) AS cosine
+  FROM u x JOIN u y USING (term) WHERE x.topic_id < y.topic_id GROUP BY 1, 2 HAVING cosine >= 0.5)"""
+
+
+def _community_terms(spark, d):
+    docs = prepared(spark, d).withColumn("topic_id", F.concat_ws("/", "community", "lang"))
+    return materialize(topics.term_counts(docs, "text_clean"), "term-counts")
+
+
+@query("similar_topics", f"WITH {_ALIKE} SELECT a, b, round(cosine, 6) AS cosine FROM p")
+def _(spark, d):
+    return _rounded(topicmerge.similar_topics(_community_terms(spark, d), 0.5))
+
+
+@query("topic_merge_step", f"""
+WITH RECURSIVE {_ALIKE}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT topic_id AS node, topic_id AS label FROM tot UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node)
+SELECT node AS topic_id, min(label) AS merged FROM r GROUP BY node""")
+def _(spark, d):
+    return topicmerge.merge_topics(_community_terms(spark, d), 0.5, rounds=1)
+
+
+@query("density_topics")
+def _(spark, d):
+    docs = _embedded(spark, d).filter(F.col("split") == "train")
+    return topicmerge.density_topics(docs, "text_clean").select("id", "topic_id")
+
+
 @query("topic_terms", f"""
 WITH {q.BASE}, t AS (
   SELECT substr(community, 4)::INTEGER AS topic_id, unnest({_tokens('lower(text_clean)')}) AS term FROM base
