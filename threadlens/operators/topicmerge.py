@@ -22,6 +22,7 @@ def unit_terms(counts: DataFrame, topic: str = "topic_id") -> DataFrame:
     """Class TF-IDF of each topic scaled to length one: (topic, term, u)."""
     weights = materialize(class_tfidf(counts, topic), "class-weights")
     length = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    length = materialize(length, "lengths")  # one row a topic; the scaled terms are not written a second time
     return weights.join(length, topic).select(topic, "term", (F.col("weight") / F.col("length")).alias("u"))
 
 
@@ -36,7 +37,7 @@ def leading_terms(units: DataFrame, at: float, topic: str = "topic_id") -> DataF
 
 def similar_topics(counts: DataFrame, at: float, topic: str = "topic_id") -> DataFrame:
     """Pairs (a, b, cosine) with a < b whose cosine, rounded to nine digits, is ``at`` or more, 0 < at <= 1."""
-    units = materialize(unit_terms(counts, topic), "unit-terms")
+    units = unit_terms(counts, topic)
     lead = materialize(leading_terms(units, at, topic), "leading-terms")
     pairs = lead.select(F.col(topic).alias("a"), "term").join(lead.select(F.col(topic).alias("b"), "term"), "term").filter(
         "a < b").select("a", "b").distinct()
