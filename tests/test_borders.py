@@ -46,3 +46,9 @@ def test_empty_corpus(spark, abbreviations):
     assert none.count() == 0 and borders.sentence_borders(empty, "text", none).count() == 0
     one = spark.createDataFrame([(1, "Dr. Smith came.", "x", "y")], SCHEMA)
     assert one.count() == 1 and borders.sentence_borders(one, "text", none).first()["sentence_words"] == [1, 2]
+
+
+def test_words_are_read_once_for_the_types(spark):
+    docs = spark.createDataFrame([(1, "He came. Dr. Smith came.", "x", "y")], SCHEMA)
+    plan = borders.abbreviation_types(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "scalar-subquery" in plan

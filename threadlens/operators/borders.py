@@ -5,8 +5,8 @@ the period belongs to the type than chance would have it; short types and types
 each occurrence without a period lowers the score. ``sentence_borders`` then splits after words that end
 with .!? unless the word is an abbreviation with one period ("Dr. Smith" stays one sentence).
 
-The statistics are one map-side aggregated count table. Only candidate words (about one a sentence) are
-exploded for the decision, joined with the abbreviations (by broadcast if their counted number allows) and brought back
+Words are counted as they are, map-side, and only different words are typed; the count table of types is written once. Only
+candidate words (about one a sentence) are kept for the decision, joined with the abbreviations (by broadcast if their counted number allows) and brought back
 as the set of border positions per different text, so copies are decided once per task.
 
 Edge cases: null and blank texts have no sentence. Repeated rows, null ids and equal ids are all kept.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
 from threadlens.operators.ranking import small_side
+from threadlens.session import materialize
 
 #: Published constants: share of periods expected of an abbreviation, and the least score of one.
 PERIOD_SHARE = 0.99
@@ -36,10 +37,11 @@ def word_type(word: Column) -> Column:
 
 def abbreviation_types(df: DataFrame, text_col: str, min_score: float = MIN_SCORE) -> DataFrame:
     """(word_type, n_with, n_without, score) of the types whose final period belongs to them."""
-    found = df.select(F.explode(tx.words(F.col(text_col))).alias("w"))
-    typed = found.select(word_type(F.col("w")).alias("word_type"), F.col("w").rlike(ONE_PERIOD).alias("p"))
-    typed = typed.filter(F.col("word_type").rlike(WORD_TYPE)).groupBy("word_type").agg(
-        F.count_if("p").alias("n_with"), F.count_if(~F.col("p")).alias("n_without"))
+    found = df.select(F.explode(tx.words(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    typed = found.select(word_type(F.col("w")).alias("word_type"), F.col("w").rlike(ONE_PERIOD).alias("p"), "c")
+    typed = materialize(typed.filter(F.col("word_type").rlike(WORD_TYPE)).groupBy("word_type").agg(
+        F.sum(F.when(F.col("p"), F.col("c")).otherwise(0)).alias("n_with"),
+        F.sum(F.when(F.col("p"), 0).otherwise(F.col("c"))).alias("n_without")), "word-types")
     share = typed.agg((F.sum("n_with") / F.sum(F.col("n_with") + F.col("n_without"))).alias("s"))
     at = F.least(F.greatest(share.select("s").scalar(), F.lit(1e-9)), F.lit(1 - 1e-9))
     letters = F.length(F.replace("word_type", F.lit("."), F.lit("")))
@@ -52,10 +54,11 @@ def abbreviation_types(df: DataFrame, text_col: str, min_score: float = MIN_SCOR
 
 def sentence_borders(df: DataFrame, text_col: str, abbreviations: DataFrame) -> DataFrame:
     """Columns of ``df`` and ``sentence_words`` (words per sentence) and ``n_abbreviations`` (periods that do not split)."""
-    words = tx.words(F.col("t"))
     texts = df.select(F.sha2(F.col(text_col), 256).alias("k"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
-    each = texts.select("k", F.size(words).alias("n"), F.posexplode(words).alias("at", "w"))
-    ends = each.filter(F.col("w").rlike("[.!?]$") & (F.col("at") < F.col("n") - 1))
+    texts = texts.select("k", tx.words(F.col("t")).alias("__w"))
+    each = texts.select("k", F.size("__w").alias("n"), F.posexplode("__w").alias("at", "w"))
+    marked = F.endswith("w", F.lit(".")) | F.endswith("w", F.lit("!")) | F.endswith("w", F.lit("?"))
+    ends = each.filter(marked & (F.col("at") < F.col("n") - 1))
     ends = ends.select("k", "at", F.when(F.col("w").rlike(ONE_PERIOD), word_type(F.col("w"))).alias("word_type"))
     known = small_side(abbreviations.select("word_type", F.lit(True).alias("kept")), "abbreviations")
     judged = ends.join(known, "word_type", "left").groupBy("k").agg(
