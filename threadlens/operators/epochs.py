@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions import text
-from threadlens.operators.modelfeat import _slots, slot_weights
+from threadlens.operators.modelfeat import _slots, slot_weights, token_slices
 from threadlens.session import materialize
 
 SUMS = "slot int, total double, rows bigint"
@@ -34,8 +34,7 @@ VECTOR = T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.S
 def _hashed(df: DataFrame, text_col: str, idf: np.ndarray, out: str) -> DataFrame:
     """Add the sparse unit vector of the text."""
 
-    @F.arrow_udf(VECTOR)
-    def vector(lists: pa.Array) -> pa.Array:
+    def vector_slice(lists: pa.Array) -> pa.Array:
         size = np.asarray(lists.value_lengths()).astype("int64")
         cell = np.repeat(np.arange(len(lists)), size) * len(idf) + np.asarray(lists.flatten()).astype("int64")
         cell, tf = np.unique(cell, return_counts=True)
@@ -47,6 +46,10 @@ def _hashed(df: DataFrame, text_col: str, idf: np.ndarray, out: str) -> DataFram
             pa.ListArray.from_arrays(offsets, pa.array(slot, pa.int32())),
             pa.ListArray.from_arrays(offsets, pa.array(value / norm[row]))], ["slots", "values"])
 
+    @F.arrow_udf(VECTOR)
+    def vector(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([vector_slice(part) for part in token_slices(lists)])
+
     return df.withColumn(out, vector(_slots(text.words(F.lower(F.coalesce(F.col(text_col), F.lit("")))))))
 
 

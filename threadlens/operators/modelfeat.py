@@ -232,6 +232,20 @@ def slot_weights(df: DataFrame, col: str) -> np.ndarray:
     return np.log((n + 1) / (freq + 1)) + 1.0
 
 
+#: Tokens of one slice of a batch; a batch has so many rows, but texts of any length.
+SLICE_TOKENS = 1 << 18
+
+
+def token_slices(lists: pa.Array, most: int = SLICE_TOKENS) -> Iterator[pa.Array]:
+    """A batch of token lists in consecutive slices of at most ``most`` tokens, or of one row; one slice if it is empty."""
+    ends = np.cumsum(np.asarray(lists.value_lengths()).astype("int64"))
+    start, done = 0, 0
+    while start < len(lists) or not start:
+        stop = max(int(np.searchsorted(ends, done + most, "right")), start + 1)
+        yield lists.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1]) if len(ends) else 0
+
+
 def embed_texts(
     df: DataFrame, col: str, encoder: Callable[[], Encoder] | None = None, dim: int = lx.EMBEDDING_DIM,
     max_chars: int | None = None, weights: np.ndarray | None = None,
@@ -256,8 +270,7 @@ def embed_texts(
     number = np.arange(len(idf))
     target, sign = number * 40503 % len(idf) * dim // len(idf), np.where(number * 30011 % 65537 % 2 == 0, 1.0, -1.0)
 
-    @F.arrow_udf(vectors)
-    def project(lists: pa.Array) -> pa.Array:
+    def project_slice(lists: pa.Array) -> pa.Array:
         size = np.asarray(lists.value_lengths()).astype("int64")
         cell = np.repeat(np.arange(len(lists)), size) * len(idf) + np.asarray(lists.flatten()).astype("int64")
         cell, tf = np.unique(cell, return_counts=True)
@@ -268,6 +281,10 @@ def embed_texts(
         flat = (flat / np.where(norm == 0, 1.0, norm)).astype("float32").ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(flat))
 
+    @F.arrow_udf(vectors)
+    def project(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([project_slice(part) for part in token_slices(lists)])
+
     return df.withColumn("embedding", project(_slots(text.words(F.lower(source)))))
 
 
