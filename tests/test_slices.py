@@ -1,6 +1,7 @@
 """Batches of token lists in slices."""
 
 import pyarrow as pa
+import pytest
 
 from threadlens.operators import epochs, modelfeat
 
@@ -26,3 +27,14 @@ def test_vectors_do_not_depend_on_slices(spark, monkeypatch):
     for module in (modelfeat, epochs):
         monkeypatch.setattr(module, "token_slices", lambda lists: (x for x in cutter(lists, 4)))
     assert both() == whole
+
+
+def test_chunks_are_hashed_once(spark):
+    rows = [(1, "a b c d e a"), (2, "x"), (2, "x"), (3, ""), (4, None), (None, "a b")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    long = modelfeat.embed_long_text(df, "text", limit=3, size=2, dim=8)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and "split(" not in plan
+    chunks = modelfeat.text_chunks(df, "text", limit=3, size=2)
+    twice = modelfeat.embed_long_text(df, "text", limit=3, size=2, dim=8, weights=modelfeat.slot_weights(chunks, "chunk"))
+    assert {r["id"]: r["embedding"] for r in long.collect()} == {r["id"]: pytest.approx(r["embedding"]) for r in twice.collect()}

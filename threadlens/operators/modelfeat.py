@@ -218,8 +218,13 @@ def _slots(tokens: Column) -> Column:
 
 def slot_weights(df: DataFrame, col: str) -> np.ndarray:
     """Inverse document frequency per hash slot: 65,536 numbers, whatever the corpus size."""
+    return _weights(df.select(_slots(text.words(F.lower(F.col(col)))).alias("__slots")), "__slots")
+
+
+def _weights(df: DataFrame, slots_col: str) -> np.ndarray:
+    """The same from the slots of each text; rows without a list do not count."""
     n_slots = 1 << _SLOT_BITS
-    slots = F.array_distinct(_slots(text.words(F.lower(F.col(col)))))
+    slots = F.array_distinct(slots_col)
     # Slot -1 occurs once per text and so counts the texts in the same pass.
     counted = df.select(F.explode(F.array_append(slots, F.lit(-1))).alias("slot")).groupBy("slot").count()
     freq = np.zeros(n_slots)
@@ -246,6 +251,29 @@ def token_slices(lists: pa.Array, most: int = SLICE_TOKENS) -> Iterator[pa.Array
         start, done = stop, int(ends[stop - 1]) if len(ends) else 0
 
 
+def _projection(idf: np.ndarray, dim: int) -> Callable[[Column], Column]:
+    """Unit vector of ``dim`` dimensions from a list of slots."""
+    number = np.arange(len(idf))
+    target, sign = number * 40503 % len(idf) * dim // len(idf), np.where(number * 30011 % 65537 % 2 == 0, 1.0, -1.0)
+
+    def project_slice(lists: pa.Array) -> pa.Array:
+        size = np.asarray(lists.value_lengths()).astype("int64")
+        cell = np.repeat(np.arange(len(lists)), size) * len(idf) + np.asarray(lists.flatten()).astype("int64")
+        cell, tf = np.unique(cell, return_counts=True)
+        row, slot = cell // len(idf), cell % len(idf)
+        value = (1 + np.log(tf)) * idf[slot] * sign[slot]
+        flat = np.bincount(row * dim + target[slot], value, minlength=len(lists) * dim).reshape(len(lists), dim)
+        norm = np.linalg.norm(flat, axis=1, keepdims=True)
+        flat = (flat / np.where(norm == 0, 1.0, norm)).astype("float32").ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(flat))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def project(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([project_slice(part) for part in token_slices(lists)])
+
+    return project
+
+
 def embed_texts(
     df: DataFrame, col: str, encoder: Callable[[], Encoder] | None = None, dim: int = lx.EMBEDDING_DIM,
     max_chars: int | None = None, weights: np.ndarray | None = None,
@@ -267,25 +295,7 @@ def embed_texts(
                 yield pd.Series(_unit_rows(np.asarray(model(texts.tolist()), dtype="float64")))
         return df.withColumn("embedding", encode(source))
     idf = slot_weights(df, col) if weights is None else weights
-    number = np.arange(len(idf))
-    target, sign = number * 40503 % len(idf) * dim // len(idf), np.where(number * 30011 % 65537 % 2 == 0, 1.0, -1.0)
-
-    def project_slice(lists: pa.Array) -> pa.Array:
-        size = np.asarray(lists.value_lengths()).astype("int64")
-        cell = np.repeat(np.arange(len(lists)), size) * len(idf) + np.asarray(lists.flatten()).astype("int64")
-        cell, tf = np.unique(cell, return_counts=True)
-        row, slot = cell // len(idf), cell % len(idf)
-        value = (1 + np.log(tf)) * idf[slot] * sign[slot]
-        flat = np.bincount(row * dim + target[slot], value, minlength=len(lists) * dim).reshape(len(lists), dim)
-        norm = np.linalg.norm(flat, axis=1, keepdims=True)
-        flat = (flat / np.where(norm == 0, 1.0, norm)).astype("float32").ravel()
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(flat))
-
-    @F.arrow_udf(vectors)
-    def project(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([project_slice(part) for part in token_slices(lists)])
-
-    return df.withColumn("embedding", project(_slots(text.words(F.lower(source)))))
+    return df.withColumn("embedding", _projection(idf, dim)(_slots(text.words(F.lower(source)))))
 
 
 def _unit_rows(m: np.ndarray) -> list[np.ndarray]:
@@ -311,9 +321,17 @@ def embed_long_text(
     df: DataFrame, col: str, id_col: str = "id", limit: int = lx.MAX_TOKENS_PER_TEXT,
     size: int = lx.LONG_TEXT_CHUNK, **kwargs,
 ) -> DataFrame:
-    """Mean of the chunk embeddings of each text, every chunk weighing the same."""
+    """Mean of the chunk embeddings of each text, every chunk weighing the same.
+
+    If document frequencies are to come from the chunks, their slots are written once for both passes over them.
+    """
     from threadlens.operators.vectors import group_centroid
 
     chunks = text_chunks(df, col, id_col, limit, size)
-    vecs = embed_texts(chunks, "chunk", **kwargs)
+    if any(kwargs.get(k) is not None for k in ("encoder", "weights", "max_chars")):
+        vecs = embed_texts(chunks, "chunk", **kwargs)
+    else:
+        slotted = materialize(chunks.select(id_col, _slots(text.words(F.lower("chunk"))).alias("__slots")), "chunk-slots")
+        project = _projection(_weights(slotted, "__slots"), kwargs.get("dim", lx.EMBEDDING_DIM))
+        vecs = slotted.withColumn("embedding", project(F.coalesce("__slots", F.array().cast("array<int>"))))
     return group_centroid(vecs, id_col, "embedding", "embedding")
