@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.operators.neighbours import VectorBlocks, _distances, _matrix, connected_components, knn_graph
+from threadlens.operators.neighbours import _SLACK, VectorBlocks, _distances, _matrix, connected_components, knn_graph
 from threadlens.session import materialize
 
 #: Shortest distance told apart; similarities are rounded to 12 digits, so chords below it are noise.
@@ -81,6 +81,22 @@ def _bounds(rows: DataFrame, vb: VectorBlocks, cells: list) -> DataFrame:
     return found.groupBy("label").agg(F.min("proven").alias("proven"))
 
 
+def _other_components(cells: list, count: int):
+    """Which cells in reach of a row hold rows of other components, near enough to others of their own."""
+    filler = cells[0]["least"]
+    least, most, far = [filler] * count, [filler] * count, np.full(count, np.inf)
+    for r in cells:
+        least[r["cell"]], most[r["cell"]], far[r["cell"]] = r["least"], r["most"], r["far_least"]
+    least, most = np.array(least), np.array(most)
+
+    def wanted(rows, bound, at):
+        reach, label = rows["reach"].to_numpy()[:, None], rows["label"].to_numpy()[:, None]
+        mixed = (least[at] != most[at]) | (least[at] != label)
+        return (bound <= reach + _SLACK) & mixed & (far[at] <= reach)
+
+    return wanted
+
+
 def spanning_edges(points: DataFrame, near: DataFrame, vb: VectorBlocks) -> DataFrame:
     """Edges (a, b, w) whose components at every distance are those of all pairs; fewer than two per point.
 
@@ -90,16 +106,24 @@ def spanning_edges(points: DataFrame, near: DataFrame, vb: VectorBlocks) -> Data
     state = materialize(points.select("rep", F.col("rep").alias("label")), "components")
     taken = []
 
-    def nearest(visitors, q, rows, m, memory):
-        w = np.maximum(_chord(q @ m.T), visitors["far"].to_numpy()[:, None])
-        w = np.maximum(w, rows["far"].to_numpy()[None, :])
-        w[visitors["label"].to_numpy()[:, None] == rows["label"].to_numpy()[None, :]] = np.inf
-        j = w.argmin(axis=1)
-        out = pd.DataFrame({
-            "label": visitors["label"].to_numpy(), "w": w[np.arange(len(w)), j], "a": visitors["rep"].to_numpy(),
-            "b": rows["rep"].to_numpy()[j], "other": rows["label"].to_numpy()[j],
-        })
-        return out[np.isfinite(out["w"])].sort_values("w").drop_duplicates("label")
+    def nearest(visitors, q, met, memory):
+        """The lightest edge from each component to another one, as far as it can be of use."""
+        far, label, reach = (visitors[c].to_numpy() for c in ("far", "label", "reach"))
+        floor, out = 1.0 - reach * reach / 2 - _SLACK, []
+        for block, who in met:
+            own, theirs = block.rows["far"].to_numpy(), block.rows["label"].to_numpy()
+            sim = q[who] @ block.m.T
+            i, j = np.nonzero((sim >= floor[who][:, None]) & (own <= reach[who][:, None]))
+            other = label[who[i]] != theirs[j]
+            i, j, v = i[other], j[other], who[i[other]]
+            w = np.maximum(np.maximum(_chord(sim[i, j]), far[v]), own[j])
+            light = np.lexsort((w, v))
+            light = light[np.unique(v[light], return_index=True)[1]]  # one of the lightest of each visitor
+            out.append(pd.DataFrame({
+                "label": label[v[light]], "w": w[light], "a": visitors["rep"].to_numpy()[v[light]],
+                "b": block.rows["rep"].to_numpy()[j[light]], "other": theirs[j[light]],
+            }))
+        return pd.concat(out).sort_values("w").drop_duplicates("label")
 
     edge = f"label {kind}, w double, a {kind}, b {kind}, other {kind}"
     while True:
@@ -123,13 +147,8 @@ def spanning_edges(points: DataFrame, near: DataFrame, vb: VectorBlocks) -> Data
             (F.col("listed").isNull() | (F.col("listed") > F.col("reach"))) & (F.col("far") <= F.col("reach"))
         )
         asking = rows.join(limit, "label").filter(useful)
-        inside = F.broadcast(spark.createDataFrame(cells, per_cell.schema))
         carried = {"far": "double", "label": kind}
-        visits = vb.visits(asking, skip_own=False, carry=carried).join(inside, "cell").filter(
-            ((F.col("least") != F.col("most")) | (F.col("least") != F.col("label")))
-            & (F.col("far_least") <= F.col("reach"))
-        )
-        found = vb.scan(rows, visits, nearest, edge, tuple(carried))
+        found = vb.scan(rows, asking, nearest, edge, carried, _other_components(cells, len(vb.pivots)))
         best = near.unionByName(found).groupBy("label").agg(F.min(F.struct("w", "a", "b", "other")).alias("e"))
         best = materialize(best.select("label", "e.*"), "lightest")
         taken.append(best.select("a", "b", "w"))
