@@ -101,3 +101,23 @@ def test_density_topics(spark):
     fruit = {out[i] for i in range(0, 90, 3)} - {-1}
     cars = {out[i] for i in range(90) if i % 3} - {-1}
     assert len(fruit) == len(cars) == 1 and fruit != cars
+
+
+def test_terms_of_one_topic_are_length_only(spark):
+    counts = random_counts(7) + [(t, f"only{t}", 9 + t) for t in range(18)]
+    units = topicmerge.unit_terms(table(spark, counts)).cache()
+    alone = units.filter("topics = 1").selectExpr("topic_id", "u * u AS alone")
+    whole = {(r[0], r[1]) for r in topicmerge.leading_terms(units, 0.6).collect()}
+    shared = {(r[0], r[1]) for r in topicmerge.leading_terms(units.filter("topics > 1"), 0.6, alone=alone).collect()}
+    assert shared == {x for x in whole if not x[1].startswith("only")} and len(shared) < len(whole)
+
+
+@pytest.mark.parametrize("counts", [
+    random_counts(8),
+    [(t, "common", 3) for t in range(40)] + [(t, f"pair{t // 2}", 5) for t in range(40)] + [(t, f"own{t}", 1) for t in range(40)],
+])
+def test_either_way_of_meeting_equals_all_pairs(spark, counts):
+    """Dense counts meet at their terms; topics that share few rare words are looked up pair by pair."""
+    got = {(r["a"], r["b"]): r["cosine"] for r in topicmerge.similar_topics(table(spark, counts), 0.5).collect()}
+    want = brute_pairs(counts, 0.5)
+    assert want and set(got) == set(want) and all(got[p] == pytest.approx(want[p], abs=2e-9) for p in want)
