@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 Encoding: a text is cut into matches of the tokenizer's pattern, and each distinct match is encoded once;
-``MAX_MATCHES`` of them are kept for later texts. Its bytes are token-position rows; in every step of a recursive query the rows
-join the merge table, and each match contracts its leftmost pair of minimum rank, until no pair of any
-match is in the table. Decoding joins the ids with the vocabulary and concatenates the bytes by an
-ordered aggregation. Both work on a few megabytes of texts at a time, and nothing is shuffled. The recursive query holds the rows of
-all its steps, some n^2 / 2 for a match of n bytes, so a query takes matches up to ``SLICE_STEPS`` such rows, the shortest first.
+``MAX_MATCHES`` of them are kept for later texts. It is a row with the lists of its tokens and of the ranks of their pairs. In every
+step of a recursive query each match contracts its leftmost pair of minimum rank, and the two new pairs
+join the merge table, until no pair of any match is in the table. Decoding takes the bytes of the ids from the
+vocabulary and joins them. Both work on a few megabytes of texts at a time, and nothing is shuffled. The recursive query holds the lists of
+all its steps, some n^2 / 2 tokens for a match of n bytes, so a query takes matches up to ``SLICE_STEPS`` such tokens, the shortest first.
 
 Cutting is done in two steps: a space before a character that is not white space always begins a match,
 so texts are first split there, and the pattern runs once per distinct piece.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of all steps per recursive query, token rows per decoding query, bytes of texts encoded together, and matches kept.
+#: Tokens in the lists of all steps per recursive query, tokens decoded together, bytes of texts encoded together, and matches kept.
 SLICE_STEPS = 4_000_000
 SLICE_TOKENS = 1_000_000
 CUT_BYTES = 8_000_000
@@ -39,28 +39,22 @@ MAX_MATCHES = 300_000
 LONG_BYTES = 512
 #: A space before white space of any kind, or at the end.
 ODD_SPACE = r" (?:[\s\v\x{85}\x{1c}-\x{1f}\p{Z}]|$)"
-#: A row's place is packed as match * 2^20 + position, a contraction as rank * 2^20 + position.
-SHIFT = 1 << 20
 
-ENCODE = f"""
+#: ``k`` is the place of the pair that is contracted, from 1. List bounds below 0 count from the end, hence the first CASE.
+ENCODE = """
 WITH RECURSIVE t AS (
-    SELECT 0 AS step, wp, id FROM start_rows
+    SELECT w, ids, ranks FROM start_rows
     UNION ALL
-    SELECT * FROM (
-        WITH near AS (
-            SELECT step, wp, id, lead(wp) OVER o AS nwp, lead(id) OVER o AS nid, lag(wp) OVER o AS pwp
-            FROM t WINDOW o AS (ORDER BY wp)),
-        pairs AS MATERIALIZED (
-            SELECT step, wp, id, pwp, wp >> 20 AS w, r FROM near
-            LEFT JOIN merges ON ab = CASE WHEN nwp >> 20 = wp >> 20 THEN id::BIGINT * 65536 + nid END),
-        best AS (SELECT w, min(r::BIGINT * {SHIFT} + wp % {SHIFT}) AS k FROM pairs WHERE r IS NOT NULL GROUP BY w)
-        SELECT step + 1, wp, (CASE WHEN wp % {SHIFT} = k % {SHIFT} THEN k // {SHIFT} ELSE id END)::INTEGER
-        FROM pairs JOIN best ON pairs.w = best.w
-        WHERE pwp IS DISTINCT FROM pairs.w * {SHIFT} + k % {SHIFT}))
-SELECT t.wp >> 20 AS w, id FROM t JOIN (SELECT wp >> 20 AS w, max(step) AS step FROM t GROUP BY 1) m
-    ON m.w = t.wp >> 20 AND m.step = t.step ORDER BY wp
+    SELECT w, next_ids, list_concat(CASE WHEN k > 2 THEN ranks[1:k - 2] ELSE [] END, CASE WHEN k > 1 THEN [a.r] ELSE [] END,
+                                    CASE WHEN k < len(ranks) THEN [b.r] ELSE [] END, ranks[k + 2:])
+    FROM (
+        SELECT w, ranks, k, list_concat(ids[1:k - 1], [best], ids[k + 2:]) AS next_ids,
+               ids[k - 1]::BIGINT * 65536 + best AS before, best::BIGINT * 65536 + ids[k + 2] AS after
+        FROM (SELECT w, ids, ranks, list_min(ranks) AS best, list_position(ranks, list_min(ranks)) AS k FROM t)
+        WHERE best IS NOT NULL)
+    LEFT JOIN merges a ON a.ab = before LEFT JOIN merges b ON b.ab = after)
+SELECT ids FROM t WHERE list_min(ranks) IS NULL ORDER BY w
 """
-DECODE = "SELECT d, string_agg(piece, '' ORDER BY pos) AS text FROM token_rows JOIN vocabulary USING (id) GROUP BY d"
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +64,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> tuple[n
 
 
 class Tables:
-    """Rank table of one tokenizer, and DuckDB with its merge and vocabulary tables."""
+    """Rank table and vocabulary of one tokenizer, and DuckDB with its merge table."""
 
     def __init__(self, blob: bytes, pattern: str):
         lines = (line.split() for line in blob.splitlines() if line.strip())
@@ -89,14 +83,19 @@ class Tables:
                     rank.append(r)
         self.pairs = dict(zip(zip(left, right), rank))
         self.bytes_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        first, second = np.divmod(np.arange(1 << 16), 256)
+        both = zip(self.bytes_id[first].tolist(), self.bytes_id[second].tolist())
+        self.bytes_rank = np.fromiter((self.pairs.get(p, -1) for p in both), dtype=np.int32, count=1 << 16)
         self.known = np.zeros(max(self.ranks.values()) + 1, dtype=bool)
         self.known[list(self.ranks.values())] = True
+        pieces = [b""] * len(self.known)
+        for token, r in self.ranks.items():
+            pieces[r] = token
+        self.pieces = pa.array(pieces, pa.binary())
         self._forget()
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "400MB"})
         ab = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
         self._load("merges", pa.table({"ab": ab, "r": pa.array(rank, pa.int32())}))
-        pieces = pa.array([t.decode("latin-1") for t in self.ranks])
-        self._load("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -139,11 +138,16 @@ class Tables:
             to = max(at + 1, int(np.searchsorted(steps, steps[at] + SLICE_STEPS, side="right")) - 1)
             part, n = pieces[at:to], size[at:to]
             flat = np.frombuffer(b"".join(part), dtype=np.uint8)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            rows = pa.table({"wp": np.repeat(np.arange(len(part)), n) * SHIFT + pos, "id": self.bytes_id[flat]})
-            got = self._run("start_rows", rows, ENCODE)
-            ids.append(got["id"].to_numpy())
-            sizes.append(np.bincount(got["w"].to_numpy(), minlength=len(part)))
+            ends = np.concatenate([[0], np.cumsum(n)])
+            inside = np.ones(len(flat), dtype=bool)  # the last byte of a match begins no pair
+            inside[ends[1:] - 1] = False
+            rank = self.bytes_rank[(flat[:-1].astype(np.int64) * 256 + flat[1:])[inside[:-1]]]
+            rows = pa.table({
+                "w": np.arange(len(part)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.bytes_id[flat]),
+                "ranks": pa.ListArray.from_arrays(pa.array(ends - np.arange(len(ends)), pa.int32()), pa.array(rank, mask=rank < 0))})
+            for got in self._run("start_rows", rows, ENCODE)["ids"].chunks:
+                ids.append(got.flatten().to_numpy())
+                sizes.append(np.asarray(pc.list_value_length(got)).astype(np.int64))
             at = to
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
@@ -192,14 +196,17 @@ class Tables:
 
     def _encode(self, texts: pa.Array) -> pa.Array:
         odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE))
-        pieces = pc.split_pattern(texts, " ")
-        if odd.any():
-            lists = [self.cut.split(t) if o else p for t, o, p in zip(texts.to_pylist(), odd, pieces.to_pylist())]
-            pieces = pa.array(lists, pa.large_list(pa.large_string()))
-        offsets = np.asarray(pieces.offsets).astype(np.int64)
-        offsets -= offsets[0]
-        flat = pc.dictionary_encode(pieces.flatten())
-        names, codes = flat.dictionary, np.asarray(flat.indices).astype(np.int64)
+        # Where only a few texts have odd spaces, the others do not leave Arrow.
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        cut = [self.cut.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        sizes = np.empty(len(texts), dtype=np.int64)
+        sizes[~odd], sizes[odd] = np.asarray(pc.list_value_length(plain)), [len(c) for c in cut]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        strings = pa.concat_arrays([
+            pc.cast(plain.flatten(), pa.large_string()), pa.array([p for c in cut for p in c], pa.large_string())])
+        flat = pc.dictionary_encode(strings)
+        names, codes = flat.dictionary, np.empty(len(strings), dtype=np.int64)
+        codes[np.argsort(np.repeat(odd, sizes), kind="stable")] = np.asarray(flat.indices)
         codes[offsets[:-1]] += len(names)  # the first piece of a text has no space before it
         used = np.flatnonzero(np.bincount(codes, minlength=2 * len(names)))
         new = np.empty(2 * len(names), dtype=np.int64)
@@ -223,20 +230,19 @@ class Tables:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.pool[at], pa.int32()))
 
     def decode(self, lists: pa.Array) -> pa.Array:
-        """UTF-8 bytes per list of ids, by an ordered aggregation over (text, position, id) rows."""
+        """UTF-8 bytes per list of ids: the bytes of the ids, taken from the vocabulary and joined, some ``SLICE_TOKENS`` at a time."""
         size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
         ids = np.asarray(lists.flatten())
         if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all()):
             raise ValueError("id outside the vocabulary")
-        text_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        out = [b""] * len(size)
-        for lo in range(0, len(ids), SLICE_TOKENS):
-            part = ids[lo:lo + SLICE_TOKENS].astype(np.int32)
-            rows = pa.table({"d": text_of[lo:lo + SLICE_TOKENS], "pos": np.arange(len(part), dtype=np.int32), "id": part})
-            got = self._run("token_rows", rows, DECODE)
-            for k, text in zip(got["d"].to_pylist(), got["text"].to_pylist()):
-                out[k] += text.encode("latin-1")
-        return pa.array(out, pa.binary())
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out, lo = [pa.array([], pa.binary())], 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_TOKENS, side="right")) - 1)
+            taken = self.pieces.take(pa.array(ids[ends[lo]:ends[hi]]))
+            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[lo:hi + 1] - ends[lo], pa.int32()), taken), b""))
+            lo = hi
+        return pa.concat_arrays(out)
 
 
 @lru_cache(maxsize=2)
