@@ -161,11 +161,16 @@ def repeated_windows(spans: list[bytes], window: int = WINDOW) -> list[np.ndarra
     for i, (b, s) in enumerate(zip(begin, spans)):
         data[b:b + len(s)] = np.frombuffer(s, dtype=np.uint8)
         data[b + len(s)] = 256 + i  # a separator of its own: no match runs over it
-    length, source = longest_previous_factors(*suffix_order(data, window))
+    order, lcp = suffix_order(data, window)
+    # Only suffixes beside one that they match over a window can have a factor that long; runs of them are kept, places renumbered.
+    match = np.append(lcp, 0) >= window
+    near = match[:-1] | match[1:]
+    place = np.sort(order[near])
+    length, source = longest_previous_factors(np.searchsorted(place, order[near]), lcp[near])
     hit = np.zeros(len(data), dtype=bool)
     later = np.flatnonzero(length >= window)
-    hit[later] = True
-    hit[source[later]] = True
+    hit[place[later]] = True
+    hit[place[source[later]]] = True
     return [np.flatnonzero(hit[b:b + n]) for b, n in zip(begin, size)]
 
 
