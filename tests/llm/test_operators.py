@@ -204,6 +204,19 @@ def test_longest_previous_factors():
         assert length[j] == 0 or match(source[j], j) == length[j]
 
 
+def test_factors_inside_runs_only(monkeypatch):
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 256, 230, dtype=np.uint8).tobytes()
+    spans = [rng.integers(0, 256, 368, dtype=np.uint8).tobytes() for _ in range(20)] + [b"x" * 30 + shared, shared + b"y" * 60, b"z" * 250]
+    seen = Counter(s[p:p + 200] for s in spans for p in range(len(s) - 199))
+    sizes, factors = [], suffix_dedup.longest_previous_factors
+    monkeypatch.setattr(suffix_dedup, "longest_previous_factors", lambda order, lcp: sizes.append(len(order)) or factors(order, lcp))
+    got = suffix_dedup.repeated_windows(spans)
+    assert [x.tolist() for x in got] == [[p for p in range(len(s) - 199) if seen[s[p:p + 200]] > 1] for s in spans]
+    assert sizes == [sum(n for n in seen.values() if n > 1)]
+    assert [len(x) for x in suffix_dedup.repeated_windows(spans[:20])] == [0] * 20
+
+
 def test_window_hash_route(edge, monkeypatch):
     want = {(r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(edge).collect()}
     monkeypatch.setattr(suffix_dedup, "ARRAY_SPANS", 1)
@@ -223,6 +236,15 @@ def test_near_classes(spark, edge, empty):
     assert kept.filter("doc_id IN (0, 3, 4, 8, 15)").select("doc_id").distinct().count() == 5
 
 
+def test_near_classes_move_candidates_only(spark, monkeypatch):
+    base, moved, links = _prose(200, 9).split(), [], near_dedup.links
+    rows = [(i, " ".join([*base[:i * 5], f"x{i}", *base[i * 5:]])) for i in range(10)] + [(100 + i, _prose(200, 50 + i)) for i in range(90)]
+    monkeypatch.setattr(near_dedup, "links", lambda texts, members: moved.append((texts.count(), members.count())) or links(texts, members))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["class_id"] for r in got if r["doc_id"] < 100} == {0} and len({r["class_id"] for r in got}) == 91
+    assert moved[0][0] < 50 and moved[0][1] < 30 * near_dedup.BANDS
+
+
 def test_near_classes_links_beside_the_centre(spark, monkeypatch):
     """Texts that link with one member of a large family only, and never with the centre of a band."""
     base = _prose(200, 9).split()
@@ -267,6 +289,24 @@ def test_bpe_of_long_unbroken_texts(monkeypatch):
     assert [b.decode() for b in tables.decode(ids).to_pylist()] == [t or "" for t in texts]
 
 
+def test_bpe_in_little_memory():
+    """Matches as lists take a fraction of token rows; decoding needs no query."""
+    import pyarrow as pa
+
+    tables, rng = bpe.Tables(open(RANKS, "rb").read(), public_tokenizers.PATTERN), random.Random(8)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tables.ranks, special_tokens={})
+    tables.db.execute("SET memory_limit = '90MB'")
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=250)) for _ in range(150)]
+    texts += [" ".join("".join(rng.choices("abcdeé", k=rng.randrange(2, 15))) + "\n " * (i % 3 == 0) for _ in range(40)) for i in range(2000)]
+    ids = tables.encode(pa.array(texts))
+    assert ids.to_pylist() == [lib.encode_ordinary(t) for t in texts]
+    tables.db.close()
+    assert tables.decode(ids).to_pylist() == [t.encode() for t in texts]
+    assert tables.decode(pa.array([[], None, ids[0].as_py(), []], ids.type)).to_pylist() == [b"", b"", texts[0].encode(), b""]
+    with pytest.raises(ValueError):
+        tables.decode(pa.array([[65535]], ids.type))
+
+
 def test_toxicity(spark, edge, empty):
     rows = [(i, _prose(60, i) + (" awful nasty" * (1 + i % 4) if i % 3 == 0 else "")) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.llm.exact_dedup import HEAVY_GROUPS, collapse_spaces, drop_exact_copies
+from threadlens.llm.exact_dedup import HEAVY_GROUPS, collapse_spaces, drop_exact_copies, mark_possible_repeats
 from threadlens.operators.ranking import small_side
 from threadlens.session import materialize
 
@@ -212,6 +212,22 @@ def band_members(texts: DataFrame) -> DataFrame:
     return materialize(texts.select("node", F.explode(bands("text")).alias("band")), "members")
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose band two or more nodes share; bands of a large share of all rows by broadcast."""
+    sizes = materialize(members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bands")
+    large = F.col("size") * HEAVY_GROUPS > members.count()
+    heavy, light = F.broadcast(sizes.filter(large)), sizes.filter(~large)
+    rest = members.join(heavy, "band", "left_anti").join(light, "band", "left_semi")
+    return materialize(members.join(heavy, "band", "left_semi").unionAll(rest).select("node", "band"), "members")
+
+
+def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node is in ``members``, and few others, found by a Bloom filter: texts are not shuffled."""
+    nodes = materialize(members.select("node").distinct(), "candidate-nodes")
+    marked = mark_possible_repeats(texts, "node", "maybe", keys=nodes.unionAll(nodes))
+    return materialize(marked.filter("maybe").select("node", "text"), "candidates")
+
+
 def links(texts: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): verified links between nodes of ``texts`` (node, text) and centres or leaders of their bands."""
     linked = F.arrow_udf(_linked, T.BooleanType())
@@ -339,9 +355,11 @@ def _across(texts: DataFrame, members: DataFrame, labels: DataFrame) -> DataFram
 
 def connected(texts: DataFrame) -> DataFrame:
     """(node, label): nodes of ``texts`` (node, text) with the same label are one class; nodes of their own may be absent."""
-    members = band_members(texts)
-    labels = components(links(texts, members))
-    more = _across(texts, members, labels)
+    # A node without a shared band takes part in no comparison, so its text is not moved.
+    members = _shared(band_members(texts))
+    some = candidates(texts, members)
+    labels = components(links(some, members))
+    more = _across(some, members, labels)
     if more.isEmpty():
         return labels
     further = components(more).select(F.col("node").alias("label"), F.col("label").alias("last"))
