@@ -435,3 +435,34 @@ def test_pipeline_clashing_names_and_empty_table(spark, edge, tmp_path):
     assert [r["mix_order"] for r in rows] == sorted(r["mix_order"] for r in rows)
     clash.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_many_spans_settle_by_blocks(spark, monkeypatch):
+    """One passage in many surroundings: spans of an anchor differ at one edge, and rows must not come one a window."""
+    rng, sizes, kept = random.Random(5), [], suffix_dedup.materialize
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, other = noise(420), noise(40)
+    texts = [noise(rng.randint(150, 400)) + passage + (other if i % 3 else "") + noise(rng.randint(150, 400)) for i in range(60)]
+    texts += [noise(300) + passage[:230] + noise(300), noise(300) + passage[190:] + noise(300), "é" * 300, passage]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    seen = Counter(t.encode()[p:p + 200] for _, t in rows for p in range(len(t.encode()) - 199))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - 199):
+            if seen[b[p:p + 200]] > 1:
+                gone[p:p + 200] = True
+        want.append((i, bytes(np.frombuffer(b, np.uint8)[~gone])))
+
+    def counted(df, name):
+        table = kept(df, name)
+        sizes.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "ARRAY_SPANS", 5)
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == sorted(want)
+    blocks, spans = [n for name, n in sizes if name == "blocks"], dict(sizes)["parts"]
+    assert len(blocks) == len(suffix_dedup.BLOCKS) and max(blocks) <= 6 * spans

@@ -8,7 +8,7 @@ has different spans (the edges of repeated passages) are the bytes of the spans
 gathered by anchor, a suffix array is built over them, and the previous and next smaller positions in
 suffix order give each window's longest earlier match. A window is repeated if that match is long enough,
 or if it is the earlier place of such a match. Anchors with very many different spans are settled by
-grouping hashes of their windows instead, which any number of tasks can share.
+grouping hashes of blocks of windows instead, from coarse to fine, which any number of tasks can share.
 
 Anchors are compared by 64-bit hashes. Edge cases: null counts as empty, and texts shorter than a window
 keep all bytes. Matches never cross texts. Rows that repeat are repeats of each other and lose all bytes
@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm.exact_dedup import HEAVY_GROUPS
+from threadlens.operators.ranking import small_side
 from threadlens.session import materialize
 
 WINDOW, GRAM = 200, 32
 #: Windows per pass over a long text, bytes per suffix array, and spans per anchor that share one.
 PASS_WINDOWS, ARRAY_BYTES, ARRAY_SPANS = 1 << 20, 1 << 18, 500
+#: Windows per block where spans are too many for an array; the last ones are single windows.
+BLOCKS = (64, 16, 4, 1)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -205,12 +208,67 @@ def _cut(text: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.binary()))
 
 
-def _window_hashes(data: pa.Array) -> pa.Array:
-    out = []
+BLOCK = T.ArrayType(T.StructType([
+    T.StructField("at", T.IntegerType()), T.StructField("core", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("data", T.BinaryType()),
+]))
+
+
+def _anchor_places(data: pa.Array) -> pa.Array:
+    """Place of each span's first window among the windows that can hold its anchor, counted from the one that ends with it."""
+    out, width = [], WINDOW - GRAM + 1
     for s in data.to_pylist():
-        at = np.arange(len(s) - WINDOW + 1)
-        out.append(Hashes(np.frombuffer(s, dtype=np.uint8)).of(at, at + WINDOW).view(np.int64).tolist())
-    return pa.array(out, pa.list_(pa.int64()))
+        at = np.arange(width)
+        gram = Hashes(np.frombuffer(s, dtype=np.uint8)[:WINDOW]).of(at, at + GRAM)
+        out.append(width - 1 - int(((gram & _U(0xFFFFFFFFFF000000)) | at.astype(np.uint64)).argmin()))
+    return pa.array(out, pa.int32())
+
+
+def _blocks(data: pa.Array, at: pa.Array, width: pa.Array) -> pa.Array:
+    """The windows of each string in blocks of ``width`` places: hash of the bytes that all windows of such a block hold
+    (``core``), hash of all bytes of those present (``whole``), and these bytes."""
+    ends, parts, pieces = [0], [[], [], []], []
+    for s, p, w in zip(data.to_pylist(), at.to_pylist(), width.to_pylist()):
+        last = p + len(s) - WINDOW
+        block = np.arange(p // w, last // w + 1) * w
+        lo, hi = np.maximum(block, p), np.minimum(block + w - 1, last)
+        hashes = Hashes(np.frombuffer(s, dtype=np.uint8))
+        core = _mix(hashes.of(block + w - 1 - p, block + WINDOW - p) + block.astype(np.uint64))
+        whole = _mix(hashes.of(lo - p, hi + WINDOW - p) + lo.astype(np.uint64))
+        for x, y in zip(parts, (lo.astype(np.int32), core.view(np.int64), whole.view(np.int64))):
+            x.append(y)
+        pieces += [s[x:y] for x, y in zip((lo - p).tolist(), (hi + WINDOW - p).tolist())]
+        ends.append(ends[-1] + len(block))
+    kinds = (np.int32, np.int64, np.int64)
+    cols = [pa.array(np.concatenate([np.zeros(0, k), *x])) for k, x in zip(kinds, parts)]
+    made = pa.StructArray.from_arrays([*cols, pa.array(pieces, pa.binary())], names=["at", "core", "whole", "data"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+
+
+def _settle_by_blocks(spans: DataFrame) -> DataFrame:
+    """(key, first, last): repeated windows of the spans (key, first, n, data) with n = 1.
+
+    Equal windows have the same place before their anchor, so blocks of windows meet by place and content. A block whose bytes
+    occur twice is repeated as a whole, and one whose core occurs once has no repeated window. Only the others are cut further, one
+    of equal ones for all: a span that differs from others at an edge keeps the block with the edge, not a row a window.
+    """
+    place, cut = F.arrow_udf(_anchor_places, T.IntegerType()), F.arrow_udf(_blocks, BLOCK)
+    rows = spans.select("key", "first", "n", place("data").alias("at"), "data")
+    found = None
+    for width in BLOCKS:
+        made = rows.select("key", "first", "n", F.col("at").alias("was"), F.explode(cut("data", "at", F.lit(width))).alias("b"))
+        start = (F.col("first") + F.col("b.at") - F.col("was")).alias("first")
+        blocks = materialize(made.select("key", start, "n", "b.at", "b.core", "b.whole", "b.data"), "blocks")
+        one = [F.any_value(c).alias(c) for c in ("key", "first", "n", "at", "data")]
+        kinds = blocks.groupBy("core", "whole").agg(F.count("*").alias("m"), *one)
+        kinds = materialize(kinds, "block-kinds")
+        twice = small_side(kinds.filter("m > 1").select("whole"), "repeated-blocks")
+        last = (F.col("first") + F.octet_length("data") - WINDOW).cast("int").alias("last")
+        good = blocks.filter("n = 1").join(twice, "whole", "left_semi").select("key", F.col("first").cast("int").alias("first"), last)
+        found = good if found is None else found.unionAll(good)
+        mixed = small_side(kinds.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"), "mixed-cores")
+        n = F.when(F.col("m") > 1, 2).otherwise(F.col("n")).cast("long").alias("n")
+        rows = kinds.join(mixed, "core", "left_semi").select("key", "first", n, "at", "data")
+    return found
 
 
 def _remove(text: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
@@ -270,10 +328,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = parts.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     found = small.select("h", "key", "first", "n", "data").mapInArrow(_settle, "key bigint, starts array<bigint>")
     found = found.select("key", F.explode("starts").alias("first"))
-    hashes = parts.join(many, "h", "left_semi").select("key", "first", "n", F.posexplode(F.arrow_udf(_window_hashes, T.ArrayType(T.LongType()))("data")).alias("i", "w"))
-    twice = hashes.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    found_many = hashes.filter("n = 1").join(twice, "w", "left_semi").select("key", (F.col("first") + F.col("i")).cast("long").alias("first"))
-    single = found.unionAll(found_many).select("key", F.col("first").cast("int").alias("first"), F.col("first").cast("int").alias("last"))
+    single = found.select("key", F.col("first").cast("int").alias("first"), F.col("first").cast("int").alias("last"))
+    if not many.isEmpty():
+        single = single.unionAll(_settle_by_blocks(parts.join(many, "h", "left_semi").select("key", "first", "n", "data")))
     gone = whole.unionAll(single).groupBy("key").agg(F.collect_list(F.struct("first", (F.col("last") + WINDOW).alias("end"))).alias("g"))
     empty = F.array().cast("array<int>")
     result = rows.join(gone, "key", "left").select("id", "text", F.coalesce("g.first", empty).alias("a"), F.coalesce("g.end", empty).alias("b"))
