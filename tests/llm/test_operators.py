@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -466,3 +467,30 @@ def test_many_spans_settle_by_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], bytes(r["kept"])) for r in got) == sorted(want)
     blocks, spans = [n for name, n in sizes if name == "blocks"], dict(sizes)["parts"]
     assert len(blocks) == len(suffix_dedup.BLOCKS) and max(blocks) <= 6 * spans
+
+
+def test_frequent_matches_stay_encoded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_MATCHES", 20)
+    with open(RANKS, "rb") as f:
+        tables = bpe.Tables(f.read(), public_tokenizers.PATTERN)
+    got = {}
+    for i in range(12):
+        texts = [f"xqzvk wvvkq zzqj{chr(97 + i)}{chr(98 + i)}qx jqkx{chr(97 + i)}w {_prose(3, i)}"]
+        got[texts[0]] = tables.encode(pa.array(texts)).to_pylist()[0]
+        if i > 2:
+            assert b" wvvkq" in tables.place and len(tables.place) <= 20 + 20
+    with open(RANKS, "rb") as f:
+        fresh = bpe.Tables(f.read(), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "MAX_MATCHES", 1000)
+    assert fresh.encode(pa.array(list(got))).to_pylist() == list(got.values())
+
+
+def test_batches_are_cut_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), RANKS, public_tokenizers.PATTERN)
+    assert spark.conf.get(key) == "4m"
+    spark.conf.set(key, "1m")
+    bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), RANKS, public_tokenizers.PATTERN)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 Encoding: a text is cut into matches of the tokenizer's pattern, and each distinct match is encoded once;
-``MAX_MATCHES`` of them are kept for later texts. It is a row with the lists of its tokens and of the ranks of their pairs. In every
+``MAX_MATCHES`` of them are kept for later texts, and beyond that those that came up in several slices. It is a row with the lists of its tokens and of the ranks of their pairs. In every
 step of a recursive query each match contracts its leftmost pair of minimum rank, and the two new pairs
 join the merge table, until no pair of any match is in the table. Decoding takes the bytes of the ids from the
 vocabulary and joins them. Both work on a few megabytes of texts at a time, and nothing is shuffled. The recursive query holds the lists of
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadlens.session import bound_batches
+
 #: Tokens in the lists of all steps per recursive query, tokens decoded together, bytes of texts encoded together, and matches kept.
 SLICE_STEPS = 4_000_000
 SLICE_TOKENS = 1_000_000
@@ -92,7 +94,8 @@ class Tables:
         for token, r in self.ranks.items():
             pieces[r] = token
         self.pieces = pa.array(pieces, pa.binary())
-        self._forget()
+        self.place: dict[bytes, int] = {}
+        self.pool, self.start, self.size, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "400MB"})
         ab = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
         self._load("merges", pa.table({"ab": ab, "r": pa.array(rank, pa.int32())}))
@@ -177,11 +180,20 @@ class Tables:
             self.place.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.start = np.concatenate([self.start, starts + len(self.pool)])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
-        return np.fromiter(map(self.place.__getitem__, matches), dtype=np.int64, count=len(matches))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        place = np.fromiter(map(self.place.__getitem__, matches), dtype=np.int64, count=len(matches))
+        self.uses[place] += 1  # the matches of a slice are distinct
+        return place
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the matches that at least two slices had, half of ``MAX_MATCHES`` at most; their uses count half from here."""
+        least = max(2, int(np.sort(self.uses)[-(MAX_MATCHES // 2):][0]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        at, _ = _spread(self.start, self.size, kept)
+        names = list(self.place)  # in order of their places
+        self.place = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.pool, self.size, self.uses = self.pool[at], self.size[kept], self.uses[kept] // 2
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """list<int32> of ids per text."""
@@ -251,7 +263,8 @@ def _tables(blob: bytes, pattern: str) -> Tables:
 
 
 def _shared(df: DataFrame, ranks_path: str):
-    """The rank file, read on the driver and broadcast: executors need not have it."""
+    """The rank file, read on the driver and broadcast: executors need not have it. Batches are cut by bytes from here."""
+    bound_batches(df.sparkSession)
     with open(ranks_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -62,3 +62,14 @@ def materialize(df, name: str):
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch: a worker and its executor hold a few copies of one, and texts have any length.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the Arrow batches of this session by bytes, unless the session names a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
