@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from threadlens.session import materialize
+from threadlens.session import bound_batches, materialize
 
 
 #: Columns that the last stage adds.
@@ -23,8 +23,9 @@ ADDED = ("lane", "mix_order", "token_ids", "n_tokens", "round_trip")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without any letter, or null, go.
 
-    If no row has a language to learn from, every text with a letter stays.
+    If no row has a language to learn from, every text with a letter stays. Workers outlive the stage, so its batches are cut as well.
     """
+    bound_batches(spark)
     model = langid.fit(docs)
     if not model.langs:
         return docs.filter(langid.has_letter(docs))

@@ -494,3 +494,11 @@ def test_batches_are_cut_by_bytes(spark):
     bpe.encode(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), RANKS, public_tokenizers.PATTERN)
     assert spark.conf.get(key) == "1m"
     spark.conf.unset(key)
+
+
+def test_bands_bound_their_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    assert near_dedup.band_members(spark.createDataFrame([(1, "a b")], "node bigint, text string")).count() == near_dedup.BANDS
+    assert spark.conf.get(key) == "4m"
+    spark.conf.unset(key)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from threadlens.llm.exact_dedup import HEAVY_GROUPS, collapse_spaces, drop_exact_copies, mark_possible_repeats
 from threadlens.operators.ranking import small_side
-from threadlens.session import materialize
+from threadlens.session import bound_batches, materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of ROWS pairs of least shingles: at a similarity of 0.8 a band is shared with probability 0.26, and
@@ -208,6 +208,7 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def band_members(texts: DataFrame) -> DataFrame:
     """(node, band) of ``texts`` (node, text)."""
+    bound_batches(texts.sparkSession)
     bands = F.arrow_udf(_band_lists, T.ArrayType(T.LongType()))
     return materialize(texts.select("node", F.explode(bands("text")).alias("band")), "members")
 
