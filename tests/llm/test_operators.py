@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -264,6 +265,49 @@ def test_near_classes_links_beside_the_centre(spark, monkeypatch):
         assert {r["class_id"] for r in near_dedup.near_classes(docs).collect()} == {0}
 
 
+def test_near_classes_of_a_crowded_band_take_few_rounds(spark, monkeypatch):
+    """Texts that share a passage, and so bands, but are no copies of each other: a round of centres settles hardly any of them."""
+    passage, made, materialize = _prose(150, 9), [], near_dedup.materialize
+    rows = [(i, f"{_prose(60, 100 + i)} {passage} {_prose(60, 200 + i)}") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, rows[7][1] + " end")], "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 7)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: i for i in range(60)} | {60: 7}
+    assert 0 < made.count("stars") < 5
+    made.clear()
+    monkeypatch.setattr(near_dedup, "TASK_MEMBERS", 500)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()} == got
+    assert "stars" not in made and "across" not in made  # bands that fit a task are settled at once
+
+
+def test_near_copies_of_one_family_are_aligned_once(monkeypatch):
+    base, pairs, aligned = _prose(200, 9).split(), [], near_dedup._aligned
+    texts = [" ".join([*base[:i * 5], f"x{i}", *base[i * 5:]]) for i in range(30)]
+    monkeypatch.setattr(near_dedup, "_aligned", lambda x, y: pairs.append(1) or aligned(x, y))
+    batches = [pa.RecordBatch.from_pylist([
+        {"centre": c, "one": 0, "all": 0, "own": 1, "want": 1, "label": i, "text": t} for i, t in enumerate(texts)]) for c in range(24)]
+    links = [(r["a"], r["b"]) for b in near_dedup._links_in_cells(iter(batches)) for r in b.to_pylist()]
+    assert len(links) == len(pairs) == 29 and len({x for link in links for x in link}) == 30
+
+
+def test_bands_and_runs_are_those_of_the_plain_form():
+    """Values of the first form of the band hashes, and runs without pruned diagonals."""
+    words = pd.util.hash_array(np.array(_prose(40, 3).split(), dtype=object), categorize=False)
+    h = near_dedup._mix((near_dedup._shingles(words)[:, None] ^ near_dedup._SALT) * near_dedup._FACTOR)
+    two = np.argsort(h, axis=0, kind="stable")[:2]
+    least = np.take_along_axis(h, two, axis=0)
+    place = near_dedup._PLACE
+    ordered = np.where(two[0] <= two[1], least[0] * place[0] + least[1], least[1] * place[0] + least[0])
+    band = np.arange(near_dedup.BANDS, dtype=np.uint64)
+    for row in near_dedup._mix(ordered).reshape(near_dedup.BANDS, near_dedup.ROWS).T:
+        band = near_dedup._mix(band * place[1] + row)
+    assert near_dedup._bands(words).tolist() == band.view(np.int64).tolist()
+    assert near_dedup.matched_runs(list("abcabba"), list("cbabac"), 13) is not None
+    assert near_dedup.matched_runs(list("abcabba"), list("cbabac"), 4) is None
+    assert near_dedup.matched_runs(list("abcdefg"), list("abxdefg"), 2) == near_dedup.matched_runs(list("abcdefg"), list("abxdefg"), 14)
+
+
 def test_bpe(edge, empty):
     ranks = bpe.Tables(open(RANKS, "rb").read(), public_tokenizers.PATTERN).ranks
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
