@@ -308,6 +308,14 @@ def test_bands_and_runs_are_those_of_the_plain_form():
     assert near_dedup.matched_runs(list("abcdefg"), list("abxdefg"), 2) == near_dedup.matched_runs(list("abcdefg"), list("abxdefg"), 14)
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = _prose(80, 9)
+    rows = [(1, text), (1, _prose(80, 10)), (2, text + " end"), (None, text), (None, _prose(80, 11)), (3, " " + text.replace(" ", "  "))]
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted([(1, text), (1, rows[1][1]), (0, rows[4][1])])
+
+
 def test_bpe(edge, empty):
     ranks = bpe.Tables(open(RANKS, "rb").read(), public_tokenizers.PATTERN).ranks
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -503,9 +503,13 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with one document of each class, all columns kept: the one with the least id.
 
-    Only the rows that go are looked up, so rows of single documents are matched with few narrow rows.
+    Only rows whose id may be one that goes, found by a Bloom filter, are digested and looked up; the others pass where they are.
     """
     gone = near_classes(df, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("id"), "node").distinct()
-    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), node_of(text_col).alias("node"))
-    match = keyed["id"].eqNullSafe(gone["id"]) & (keyed["node"] == gone["node"])
-    return keyed.join(gone, match, "left_anti").select("row.*")
+    gone = materialize(gone, "gone")
+    ids = gone.select(F.xxhash64("id").alias("h"))
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    marked = mark_possible_repeats(keyed, "h", "maybe", keys=ids.unionAll(ids))
+    maybe = marked.filter("maybe").select("row", "id", node_of("text").alias("node"))
+    match = maybe["id"].eqNullSafe(gone["id"]) & (maybe["node"] == gone["node"])
+    return marked.filter("NOT maybe").select("row.*").unionAll(maybe.join(gone, match, "left_anti").select("row.*"))
